@@ -28,6 +28,14 @@ def dense(totals: DataFrame, entity: list[str], last_day: datetime.date) -> Data
     return days.select(*entity, "day", "i", F.coalesce(F.try_element_at("m", F.col("day")), F.lit(0)).cast("decimal(38,9)").alias("total"))
 
 
+def _plus(a: Column, b: Column) -> Column:
+    """a + b with all nine fraction digits: the sum of two DECIMAL(38,9) would be typed with eight.
+
+    From 10^28 on, where no type holds both ends, the ninth is rounded away; beyond 29 integer digits the sum is null.
+    """
+    return F.coalesce(a.try_cast("decimal(37,9)") + b.try_cast("decimal(37,9)"), F.try_add(a, b).try_cast("decimal(38,9)"))
+
+
 def rolling(rows: DataFrame, entity: list[str], day: Column, amount: Column, last_day: datetime.date, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """(entity, usage_day, quantity, total_W and average_W for each window length W).
 
@@ -42,7 +50,7 @@ def rolling(rows: DataFrame, entity: list[str], day: Column, amount: Column, las
     series = Window.partitionBy(*entity).orderBy("i")
     for w in windows:
         # on a block's last day the window is the block itself; else it starts w-1 days back, in the block before
-        before = F.when(F.pmod("i", F.lit(w)) == w - 1, F.lit(0)).otherwise(F.coalesce(F.lag(f"suffix_{w}", w - 1).over(series), F.lit(0)))
-        out = out.withColumn(f"total_{w}", (F.col(f"prefix_{w}") + before).cast("decimal(38,9)"))
+        before = F.when(F.pmod("i", F.lit(w)) == w - 1, F.lit(0).cast("decimal(38,9)")).otherwise(F.coalesce(F.lag(f"suffix_{w}", w - 1).over(series), F.lit(0)))
+        out = out.withColumn(f"total_{w}", _plus(F.col(f"prefix_{w}"), before.cast("decimal(38,9)")))
     averages = [x for w in windows for x in (F.col(f"total_{w}"), (F.col(f"total_{w}") / F.lit(w)).cast("decimal(38,9)").alias(f"average_{w}"))]
     return out.select(*entity, F.col("day").alias("usage_day"), F.col("total").alias("quantity"), *averages)
