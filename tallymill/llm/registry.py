@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import packing, seen_before
+from tallymill.llm import leakage, packing, seen_before
 from tallymill.sources.tables import table
 
 
@@ -36,7 +36,26 @@ def p6_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.utilisation(_packed(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that leak into them."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest verbatim run of each leak and where it stands."""
+    return _leaks(spark, sf_dir)
+
+
+def p7_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay when those with leaks are removed."""
+    return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p7_found, p7_longest_matches, p7_clean_documents)}
 
 ORACLE = {
     "p3_found": """with r as (select request_id, tenant_id, idempotency_key, row_number() over (partition by tenant_id, idempotency_key order by request_id) as copy from ingest_requests where idempotency_key <> ''),
