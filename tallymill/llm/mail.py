@@ -33,7 +33,8 @@ class Part:
     start: int
     end: int
     """The body is text[start:end], still encoded."""
-    parent: str = ""
+    depth: int = 0
+    """Multipart levels above the part."""
 
 
 def _headers(text: str, start: int, end: int) -> tuple[str, str, str, int]:
@@ -53,7 +54,7 @@ def _headers(text: str, start: int, end: int) -> tuple[str, str, str, int]:
     return kind or "text/plain", params, encoding, body
 
 
-def parts(text: str, start: int = 0, end: int | None = None, parent: str = "", depth: int = 0) -> list[Part]:
+def parts(text: str, start: int = 0, end: int | None = None, depth: int = 0) -> list[Part]:
     """The leaf parts of the message (or part) in text[start:end], in order."""
     end = len(text) if end is None else end
     kind, params, encoding, body = _headers(text, start, end)
@@ -63,16 +64,16 @@ def parts(text: str, start: int = 0, end: int | None = None, parent: str = "", d
         at = None
         for line in mark.finditer(text, body, end):
             if at is not None:
-                found += parts(text, at, _before_line(text, line.start()), kind, depth + 1)
+                found += parts(text, at, _before_line(text, line.start()), depth + 1)
             at = None if line.group(1) else min(line.end() + 1, end)
             if at is None:
                 break
         if at is not None:
-            found += parts(text, at, end, kind, depth + 1)
+            found += parts(text, at, end, depth + 1)
         return found
     if kind == "message/rfc822" and depth < 20:
-        return parts(text, body, end, kind, depth + 1)
-    return [Part(kind, params, encoding, body, max(body, end), parent)]
+        return parts(text, body, end, depth + 1)
+    return [Part(kind, params, encoding, body, max(body, end), depth)]
 
 
 def _before_line(text: str, at: int) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import leakage, packing, seen_before
+from tallymill.llm import leakage, packing, seen_before, sentences
 from tallymill.sources.tables import table
 
 
@@ -55,7 +55,12 @@ def p7_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p7_found, p7_longest_matches, p7_clean_documents)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every message's own prose."""
+    return sentences.split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p7_found, p7_longest_matches, p7_clean_documents, p8_found)}
 
 ORACLE = {
     "p3_found": """with r as (select request_id, tenant_id, idempotency_key, row_number() over (partition by tenant_id, idempotency_key order by request_id) as copy from ingest_requests where idempotency_key <> ''),
