@@ -20,6 +20,12 @@ from tallymill.sources.tables import table
 LAST_DAY = datetime.date(2026, 8, 3)
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Dates and decimals as text and instants as microseconds, which every engine prints alike."""
+    as_text = {"date": lambda c: F.date_format(c, "yyyy-MM-dd"), "timestamp": F.unix_micros}
+    return df.select(*[(as_text[t](c) if t in as_text else F.col(c).cast("string") if t.startswith("decimal") else F.col(c)).alias(c) for c, t in df.dtypes])
+
+
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "usage_events")
 
@@ -31,7 +37,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly one copy of each message."""
-    return exactly_once(_usage(spark, sf_dir)).select("log_offset", "tenant_id", "idempotency_key", "received_at")
+    return _plain(exactly_once(_usage(spark, sf_dir)).select("log_offset", "tenant_id", "idempotency_key", "received_at"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,17 +47,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each version of each daily total, in the order in which they became known."""
-    return late_windows(_usage(spark, sf_dir)).upserts
+    return _plain(late_windows(_usage(spark, sf_dir)).upserts)
 
 
 def p2_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corrected totals: the last version of each day."""
-    return latest(late_windows(_usage(spark, sf_dir)).upserts)
+    return _plain(latest(late_windows(_usage(spark, sf_dir)).upserts))
 
 
 def p2_diverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that changed no total, with the reason; too_late are those past the cut-off."""
-    return late_windows(_usage(spark, sf_dir)).diverted
+    return _plain(late_windows(_usage(spark, sf_dir)).diverted)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +70,7 @@ def p4_tenant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _usage(spark, sf_dir).select("tenant_id", as_decimal().alias("q"), has_key().cast("bigint").alias("k"), "received_at")
     partial = {"n": F.count(F.lit(1)), "k": F.sum("k"), "q": F.sum("q"), "a": F.min("received_at"), "z": F.max("received_at")}
     final = {"deliveries": F.sum("n"), "keyed": F.sum("k"), "quantity": F.sum("q").cast("decimal(38,9)"), "first_received": F.min("a"), "last_received": F.max("z")}
-    return skew_aggregate(rows, "tenant_id", partial, final)
+    return _plain(skew_aggregate(rows, "tenant_id", partial, final))
 
 
 def p4_above_stored_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +92,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and averages of the last 7 and 30 days for every tenant, meter and day."""
-    return _rolling(spark, sf_dir)
+    return _plain(_rolling(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_upserts, p2_daily_usage, p2_diverted, p4_found, p4_tenant_totals, p4_above_stored_mean, p5_found, p5_rolling)}
@@ -94,7 +100,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_upserts, p2_d
 _KEPT = """kept as (select * from (select *, row_number() over (partition by tenant_id, idempotency_key order by received_at, log_offset) as copy
   from usage_events where idempotency_key <> '') where copy = 1)"""
 _PLAIN = r"regexp_full_match(quantity, '0*[0-9]{1,29}(\.[0-9]{1,9})?')"
-_COUNTED = f"""{_KEPT}, counted as (select *, cast(quantity as decimal(38,9)) as q, cast(occurred_at as date) as od, cast(received_at as date) as rd from kept
+_COUNTED = f"""{_KEPT}, counted as (select *, cast(quantity as decimal(38,9)) as q, cast(make_timestamp(epoch_us(occurred_at)) as date) as od, cast(make_timestamp(epoch_us(received_at)) as date) as rd from kept
   where meter is not null and occurred_at is not null and {_PLAIN}
   and epoch_us(occurred_at) between epoch_us(received_at) - 3024000000000 and epoch_us(received_at) + 300000000)"""
 _UPSERTS = f"""{_COUNTED}, per as (select tenant_id, meter, od as usage_day, rd as arrival_day, sum(q) as s, count(*) as n, count(*) filter (rd > od) as c from counted group by all),
@@ -109,23 +115,25 @@ roll as (select d.tenant_id, d.meter, d.usage_day, cast(coalesce(p.s, 0) as deci
   from days d left join per p on p.tenant_id is not distinct from d.tenant_id and p.meter = d.meter and p.od = d.usage_day)"""
 
 #: DuckDB's DECIMAL division goes through DOUBLE, so averages are divided as whole billionths, rounded half up.
-_AVERAGE = "cast(cast((cast(cast(total_{0} as decimal(28,9)) * 1000000000 as hugeint) * 2 + {0}) // (2 * {0}) as decimal(28,0)) * 0.000000001 as decimal(38,9)) as average_{0}"
+_AVERAGE = "cast(cast(cast((cast(cast(total_{0} as decimal(28,9)) * 1000000000 as hugeint) * 2 + {0}) // (2 * {0}) as decimal(28,0)) * 0.000000001 as decimal(38,9)) as varchar) as average_{0}"
+
+_DAY, _TEXT = "strftime({0}, '%Y-%m-%d') as {0}", "cast({0} as varchar) as {0}"
 
 ORACLE = {
     "p1_found": "select log_offset from (select log_offset, row_number() over (partition by tenant_id, idempotency_key order by received_at, log_offset) as copy from usage_events where idempotency_key <> '') where copy > 1",
-    "p1_kept": f"with {_KEPT} select log_offset, tenant_id, idempotency_key, received_at from kept",
+    "p1_kept": f"with {_KEPT} select log_offset, tenant_id, idempotency_key, epoch_us(received_at) as received_at from kept",
     "p2_found": f"with {_COUNTED} select log_offset from counted where rd > od",
-    "p2_upserts": f"with {_UPSERTS} select * from ups",
-    "p2_daily_usage": f"with {_UPSERTS} select tenant_id, meter, usage_day, version, quantity, events, corrections from ups qualify row_number() over (partition by tenant_id, meter, usage_day order by version desc) = 1",
+    "p2_upserts": f"with {_UPSERTS} select * replace ({_DAY.format('usage_day')}, {_DAY.format('arrival_day')}, {_TEXT.format('quantity')}) from ups",
+    "p2_daily_usage": f"with {_UPSERTS} select tenant_id, meter, {_DAY.format('usage_day')}, version, {_TEXT.format('quantity')}, events, corrections from ups qualify row_number() over (partition by tenant_id, meter, usage_day order by version desc) = 1",
     "p2_diverted": f"""select * from (select log_offset, case when coalesce(idempotency_key, '') = '' then 'no_key' when meter is null then 'no_meter' when occurred_at is null then 'no_time'
       when not coalesce({_PLAIN}, false) then 'bad_quantity' when epoch_us(occurred_at) < epoch_us(received_at) - 3024000000000 then 'too_late'
-      when epoch_us(occurred_at) > epoch_us(received_at) + 300000000 then 'too_early' end as reason, tenant_id, meter, occurred_at, received_at from usage_events) where reason is not null""",
+      when epoch_us(occurred_at) > epoch_us(received_at) + 300000000 then 'too_early' end as reason, tenant_id, meter, epoch_us(occurred_at) as occurred_at, epoch_us(received_at) as received_at from usage_events) where reason is not null""",
     "p4_found": "select tenant_id from usage_events group by tenant_id having count(*) * 50 >= (select count(*) from usage_events)",
     "p4_tenant_totals": f"""select tenant_id, count(*) as deliveries, count(*) filter (idempotency_key <> '') as keyed,
-      cast(sum(case when {_PLAIN} then cast(quantity as decimal(38,9)) end) as decimal(38,9)) as quantity, min(received_at) as first_received, max(received_at) as last_received from usage_events group by tenant_id""",
+      cast(cast(sum(case when {_PLAIN} then cast(quantity as decimal(38,9)) end) as decimal(38,9)) as varchar) as quantity, epoch_us(min(received_at)) as first_received, epoch_us(max(received_at)) as last_received from usage_events group by tenant_id""",
     "p4_above_stored_mean": f"""with m as (select tenant_id as t, sum(quantity) as s, count(quantity) as c from stored_events group by 1),
       u as (select tenant_id, case when {_PLAIN} then cast(quantity as decimal(38,9)) end as q from usage_events)
       select tenant_id, count(*) as deliveries, count(*) filter (cast(q as decimal(30,9)) * c > s) as above_mean, coalesce(max(c), 0) as stored_rows from u left join m on t = tenant_id group by tenant_id""",
     "p5_found": f"with {_ROLLING} select tenant_id, meter, strftime(usage_day, '%Y-%m-%d') as usage_day from roll where total_7 = 0 and total_30 > 0",
-    "p5_rolling": f"with {_ROLLING} select tenant_id, meter, usage_day, quantity, total_7, {_AVERAGE.format(7)}, total_30, {_AVERAGE.format(30)} from roll",
+    "p5_rolling": f"with {_ROLLING} select tenant_id, meter, {_DAY.format('usage_day')}, {_TEXT.format('quantity')}, {_TEXT.format('total_7')}, {_AVERAGE.format(7)}, {_TEXT.format('total_30')}, {_AVERAGE.format(30)} from roll",
 }
