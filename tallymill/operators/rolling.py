@@ -6,6 +6,7 @@ block before and a prefix of the day's own block, so each total is one addition,
 
 Rows are thinned to one per entity and day before the only shuffle, so a hot entity costs no more than its days. Nulls: a
 null entity column is a value of its own; rows with null day or amount take no part. A day after ``last_day`` takes no part.
+A total with more digits than DECIMAL(38,9) holds raises an error: a wrong total would be worse.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ def dense(totals: DataFrame, entity: list[str], last_day: datetime.date) -> Data
 def _plus(a: Column, b: Column) -> Column:
     """a + b with all nine fraction digits: the sum of two DECIMAL(38,9) would be typed with eight.
 
-    From 10^28 on, where no type holds both ends, the ninth is rounded away; beyond 29 integer digits the sum is null.
+    Where one side has 29 integer digits, it can only be added to zero.
     """
-    return F.coalesce(a.try_cast("decimal(37,9)") + b.try_cast("decimal(37,9)"), F.try_add(a, b).try_cast("decimal(38,9)"))
+    alone = F.when(b == 0, a).when(a == 0, b)
+    return F.coalesce(a.try_cast("decimal(37,9)") + b.try_cast("decimal(37,9)"), alone, F.raise_error(F.lit("a trailing total has more than 28 integer digits")).cast("decimal(38,9)"))
 
 
 def rolling(rows: DataFrame, entity: list[str], day: Column, amount: Column, last_day: datetime.date, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
