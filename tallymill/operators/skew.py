@@ -53,6 +53,8 @@ def _split(df: DataFrame, key: str, heavy: list[str], salts: int) -> tuple[DataF
 def skew_aggregate(df: DataFrame, key: str, partial: dict[str, Column], final: dict[str, Column], share: float = 1 / 50, salts: int = 32) -> DataFrame:
     """One row per ``key``. ``partial`` are aggregates of the rows, ``final`` aggregates of the partial columns."""
     heavy, _ = heavy_keys(df, key, share)
+    if not heavy:
+        return df.groupBy(key).agg(*[e.alias(n) for n, e in partial.items()]).groupBy(key).agg(*[e.alias(n) for n, e in final.items()])
     salted, rest = _split(df, key, heavy, salts)
     finals = [e.alias(n) for n, e in final.items()]
     parts = [e.alias(n) for n, e in partial.items()]
@@ -67,11 +69,12 @@ def skew_join(facts: DataFrame, dimension: DataFrame, key: str, share: float = 1
     The dimension's rows of heavy keys are broadcast (at most ``2/share``); the rest is an ordinary shuffle join.
     """
     heavy, _ = heavy_keys(facts, key, share)
-    spark = facts.sparkSession
-    short = F.broadcast(spark.createDataFrame([(k,) for k in heavy], "__skew_key string"))
     renamed = dimension.withColumnRenamed(key, "__skew_dimension_key")
-    of_heavy = renamed.join(short, _key("__skew_dimension_key") == F.col("__skew_key"), "left_semi")
     same = F.col(key).eqNullSafe(F.col("__skew_dimension_key"))
+    if not heavy:
+        return facts.join(renamed, same, "left").drop("__skew_dimension_key")
+    short = F.broadcast(facts.sparkSession.createDataFrame([(k,) for k in heavy], "__skew_key string"))
+    of_heavy = renamed.join(short, _key("__skew_dimension_key") == F.col("__skew_key"), "left_semi")
     on_list = _key(key) == F.col("__skew_key")
     joined_heavy = facts.join(short, on_list, "left_semi").join(F.broadcast(of_heavy), same, "left")
     joined_rest = facts.join(short, on_list, "left_anti").join(renamed, same, "left")

@@ -17,11 +17,12 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the format.
 MAGIC = 0x4C474C4E
@@ -213,6 +214,22 @@ def read_segment(part: SegmentPart) -> Iterator[tuple[int, bytes]]:
                 raise LogError(f"{part.path}: {damage} at offset {offset}")
 
 
+def _batches(records: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    while rows := list(islice(records, 8192)):
+        offsets, payloads = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(offsets, pa.int64()), pa.array(payloads, pa.binary())], names=["log_offset", "payload"])
+
+
+def log_end(folder: str) -> int:
+    """The next offset the log would give: the base of its last segment and the records that can be read there."""
+    found = list_segments(folder)
+    while found:
+        base, path = found.pop()
+        if os.path.getsize(path) >= HEADER.size or not found:
+            return base + sum(1 for _ in read_segment(SegmentPart(path, base, 0, None, True)))
+    return 0
+
+
 class LogReader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder, self.low, self.high = folder, 0, None
@@ -245,22 +262,36 @@ class LogReader(DataSourceReader):
         return parts
 
     def read(self, partition: SegmentPart | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no segment at all
-            return
-        offsets: list[int] = []
-        payloads: list[bytes] = []
-        for offset, payload in read_segment(partition):
-            offsets.append(offset)
-            payloads.append(payload)
-            if len(offsets) == 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(offsets, pa.int64()), pa.array(payloads, pa.binary())], names=["log_offset", "payload"])
-                offsets, payloads = [], []
-        if offsets:
-            yield pa.RecordBatch.from_arrays([pa.array(offsets, pa.int64()), pa.array(payloads, pa.binary())], names=["log_offset", "payload"])
+        if partition is not None:  # None: no segment at all
+            yield from _batches(read_segment(partition))
+
+
+class LogStreamReader(DataSourceStreamReader):
+    """Offsets of the stream are offsets of the log."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def initialOffset(self) -> dict:
+        return {"offset": 0}
+
+    def latestOffset(self) -> dict:
+        return {"offset": log_end(self.folder)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        reader = LogReader(self.folder)
+        reader.low, reader.high = start["offset"], end["offset"]
+        return reader.partitions()
+
+    def read(self, partition: SegmentPart) -> Iterator[pa.RecordBatch]:
+        yield from _batches(read_segment(partition))
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class LogSource(DataSource):
-    """``spark.read.format("segmented_log").load(folder)``; the folder must be visible to every executor."""
+    """``spark.read`` or ``spark.readStream``, ``.format("segmented_log").load(folder)``; every executor must see the folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -272,6 +303,9 @@ class LogSource(DataSource):
     def reader(self, schema) -> LogReader:
         return LogReader(self.options["path"].removeprefix("file://"))
 
+    def streamReader(self, schema) -> LogStreamReader:
+        return LogStreamReader(self.options["path"].removeprefix("file://"))
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

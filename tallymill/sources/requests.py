@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.validation import BODY_BYTES, rejection
@@ -20,6 +20,11 @@ def encode_event() -> Column:
 _EVENT = "tenant_id string, meter string, quantity string, occurred_at string, received_at string, idempotency_key string, fingerprint string"
 
 
+def read_bodies(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """(body): one request body per line of the text files at ``path``, as a table or as a stream."""
+    return (spark.readStream if streaming else spark.read).schema("value string").text(path).withColumnRenamed("value", "body")
+
+
 def _members(body: Column) -> Column:
     """The object's members as map of variants; null unless the text is one JSON object."""
     parsed = F.try_parse_json(body)

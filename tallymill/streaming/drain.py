@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from tallymill.functions.keys import has_key
 from tallymill.operators.classify import classify
 from tallymill.session import SharedFiles
+from tallymill.sources.log_segments import register
+from tallymill.sources.requests import decode_event
 
 ROW = "id bigint, tenant_id string, meter string, quantity decimal(38,9), occurred_at timestamp, received_at timestamp, idempotency_key string, payload_fingerprint binary"
 LETTER = "log_offset bigint, reason string, tenant_id string, idempotency_key string"
@@ -66,12 +68,24 @@ class Consumer:
         """Conflicts and quarantined rows with their reasons."""
         return self._read("letters", LETTER)
 
+    @staticmethod
+    def _decoded(batch: DataFrame) -> DataFrame:
+        if "payload" not in batch.columns:
+            return batch.withColumn("__undecodable", F.lit(False))
+        event = decode_event(F.col("payload").cast("string"))
+        return batch.select("log_offset", event.alias("e")).select("log_offset", "e.*", F.col("e").isNull().alias("__undecodable"))
+
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [m[kind] for m in self.manifests()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def apply(self, batch: DataFrame) -> Stats:
-        """Classify one batch of log rows against what is published, and publish the part that is new."""
+        """Classify one batch of log rows against what is published, and publish the part that is new.
+
+        Rows have the columns of an event, or ``log_offset`` and ``payload`` with the encoded event. What can't be decoded will never be: it is
+        counted as read and as conflict, goes to the dead letters and is stepped over.
+        """
+        batch = self._decoded(batch)
         start = self.next_offset()
         bounds = batch.agg(F.max("log_offset").alias("high"), F.min("log_offset").alias("low")).first()
         if bounds["high"] is None:
@@ -98,7 +112,7 @@ class Consumer:
         rows = good.where("outcome = 'inserted'").select(F.col("log_offset").alias("id"), "tenant_id", "meter", decimal.alias("quantity"), "occurred_at", "received_at", "idempotency_key", F.col("fingerprint").alias("payload_fingerprint"))
         rows.write.parquet(f"{folder}/rows")
         conflicts = good.where("outcome = 'conflict'").select("log_offset", F.lit("key_reuse").alias("reason"), "tenant_id", "idempotency_key")
-        reason = F.when(~has_key(), "no_key").otherwise("bad_quantity")
+        reason = F.when(F.col("__undecodable"), "undecodable").when(~has_key(), "no_key").otherwise("bad_quantity")
         conflicts.unionByName(bad.select("log_offset", reason.alias("reason"), "tenant_id", "idempotency_key")).write.parquet(f"{folder}/letters")
         stats = self._count(good)
         refused = bad.count()
@@ -121,8 +135,15 @@ class Consumer:
         Files must arrive in order of their offsets, as a log's segments do. Without the checkpoint all files are read again, and the manifests
         turn what was applied into duplicates. Statistics cover committed batches only.
         """
+        return self._run(self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_path), checkpoint)
+
+    def drain_segments(self, folder: str, checkpoint: str | None = None) -> Stats:
+        """Read a segmented binary log from where this consumer's checkpoint stands to its end, in one batch."""
+        register(self.spark)
+        return self._run(self.spark.readStream.format("segmented_log").load(folder), checkpoint)
+
+    def _run(self, stream: DataFrame, checkpoint: str | None) -> Stats:
         total = Stats()
-        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_path)
         query = stream.writeStream.foreachBatch(lambda batch, _: total.add(self.apply(batch))).option("checkpointLocation", checkpoint or f"{self.home}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
         return total
