@@ -18,6 +18,8 @@ from tallymill.functions.keys import has_key, id_hi, id_lo
 from tallymill.operators.skew import skew_join
 
 _MESSAGE = "__message"
+#: Above every rank of a stored row.
+_STORED = 1 << 62
 
 
 def _with_message(df: DataFrame) -> DataFrame:
@@ -26,10 +28,14 @@ def _with_message(df: DataFrame) -> DataFrame:
 
 
 def first_rows(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """(message, first_offset, first_fingerprint): the row that each key's deliveries are compared with; offset -1 is a stored row."""
+    """(message, first_offset, first_fingerprint): the row that each key's deliveries are compared with.
+
+    ``stored`` rows come before all of the log and have negative offsets here. If they have a column ``rank`` (not negative), the lowest is first
+    among rows of one key.
+    """
     of_log = _with_message(log).select(_MESSAGE, F.col("log_offset").alias("o"), F.hex("fingerprint").alias("f"))
     if stored is not None:
-        of_log = of_log.unionByName(_with_message(stored).select(_MESSAGE, F.lit(-1).cast("bigint").alias("o"), F.hex("payload_fingerprint").alias("f")))
+        of_log = of_log.unionByName(_with_message(stored).select(_MESSAGE, ((F.col("rank") if "rank" in stored.columns else F.lit(0)) - _STORED).cast("bigint").alias("o"), F.hex("payload_fingerprint").alias("f")))
     return of_log.groupBy(_MESSAGE).agg(F.min("o").alias("first_offset"), F.min_by("f", "o").alias("first_fingerprint"))
 
 

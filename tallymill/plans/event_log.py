@@ -116,19 +116,14 @@ def ingest_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     refused = requests.where("r is not null").select("request_id", "r.status", "r.code", F.lit(False).alias("duplicate"))
     text = rfc3339_text_in_utc(F.col("occurred_at"))
     offered = requests.where("r is null").select(F.col("request_id").alias("log_offset"), "tenant_id", "idempotency_key", fingerprint(F.col("tenant_id"), F.col("meter"), F.col("quantity"), text).alias("fingerprint"))
-    before = table(spark, sf_dir, "stored_events").select("tenant_id", "idempotency_key", "payload_fingerprint")
-    log = dedup_source(spark, sf_dir).join(before.select("tenant_id", "idempotency_key"), ["tenant_id", "idempotency_key"], "left_anti")
-    answered = classify(offered, before.unionByName(log.withColumnRenamed("fingerprint", "payload_fingerprint")))
+    stored = table(spark, sf_dir, "stored_events").select("tenant_id", "idempotency_key", "payload_fingerprint", F.lit(0).cast("bigint").alias("rank"))
+    log = _usage(spark, sf_dir).select("tenant_id", "idempotency_key", F.col("fingerprint").alias("payload_fingerprint"), (F.col("log_offset") + 1).alias("rank"))
+    answered = classify(offered, stored.unionByName(log))
     conflict = F.col("outcome") == "conflict"
     accepted = answered.select(F.col("log_offset").alias("request_id"), F.when(conflict, 409).otherwise(202).alias("status"), F.when(conflict, "idempotency_key_reuse").otherwise("accepted").alias("code"), (F.col("outcome") == "duplicate").alias("duplicate"))
     return refused.unionByName(accepted)
 
 
-def dedup_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tenant_id, idempotency_key, fingerprint) of the rows that a drain of the log stores."""
-    return classify(_usage(spark, sf_dir)).where("outcome = 'inserted'").select("tenant_id", "idempotency_key", "fingerprint")
-
-
 def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries that reach no total: unusable rows with their reason, and conflicts."""
     unusable = _usage(spark, sf_dir).withColumn("reason", verdict()).where("reason is not null").select("log_offset", "reason", "tenant_id", "idempotency_key")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_made: list[str] = []
 
 
 def session(app: str = "tallymill", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -46,7 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what ``scratch`` has named in this process, once no result that reads it is needed any more."""
+    paths = _made[:]
+    _made.clear()
+    for path in paths:
+        root, _, name = path.rpartition("/")
+        SharedFiles(spark, root).delete(name)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

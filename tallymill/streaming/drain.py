@@ -87,39 +87,40 @@ class Consumer:
         """
         batch = self._decoded(batch)
         start = self.next_offset()
-        bounds = batch.agg(F.max("log_offset").alias("high"), F.min("log_offset").alias("low")).first()
-        if bounds["high"] is None:
-            return Stats()
-        published = self.rows()
         decimal = F.col("quantity").try_cast(T.DecimalType(38, 9))
         usable = has_key() & decimal.isNotNull()
+        poison = has_key() & F.col("quantity").isNotNull() & decimal.isNull()
+        new = F.col("log_offset") >= start
+        first = lambda c: F.min(F.when(c, F.col("log_offset")))
+        seen = batch.agg(F.min("log_offset").alias("low"), F.max("log_offset").alias("high"), first(new & poison).alias("poison"), F.count(F.when(new & ~usable, 1)).alias("refused")).first()
+        if seen["high"] is None:
+            return Stats()
+        published = self.rows()
         replayed = Stats()
-        if bounds["low"] < start:
-            replayed = self._count(classify(batch.where((F.col("log_offset") < start) & usable), published))
+        if seen["low"] < start:
+            replayed = self._count(classify(batch.where(~new & usable), published))
             if replayed.inserted:
                 raise RuntimeError(f"offsets below {start} that were never applied: the log's files came out of order")
-        if bounds["high"] < start:
+        if seen["high"] < start:
             return replayed
-        fresh = batch.where(F.col("log_offset") >= start)
-        poison = has_key() & F.col("quantity").isNotNull() & decimal.isNull()
-        bad = fresh.where(~usable)
-        if self.on_poison == "fail" and (worst := fresh.where(poison).agg(F.min("log_offset")).first()[0]) is not None:
-            raise ValueError(f"quantity at offset {worst} is no decimal")
-        good = classify(fresh.where(usable), published)
+        if self.on_poison == "fail" and seen["poison"] is not None:
+            raise ValueError(f"quantity at offset {seen['poison']} is no decimal")
         folder = f"{self.home}/data/{start}-{uuid.uuid4().hex[:12]}"
+        good = classify(batch.where(new & usable), published)
         good.write.parquet(f"{folder}/classified")
         good = self.spark.read.schema(good.schema).parquet(f"{folder}/classified")
         rows = good.where("outcome = 'inserted'").select(F.col("log_offset").alias("id"), "tenant_id", "meter", decimal.alias("quantity"), "occurred_at", "received_at", "idempotency_key", F.col("fingerprint").alias("payload_fingerprint"))
         rows.write.parquet(f"{folder}/rows")
-        conflicts = good.where("outcome = 'conflict'").select("log_offset", F.lit("key_reuse").alias("reason"), "tenant_id", "idempotency_key")
-        reason = F.when(F.col("__undecodable"), "undecodable").when(~has_key(), "no_key").otherwise("bad_quantity")
-        conflicts.unionByName(bad.select("log_offset", reason.alias("reason"), "tenant_id", "idempotency_key")).write.parquet(f"{folder}/letters")
+        letters = good.where("outcome = 'conflict'").select("log_offset", F.lit("key_reuse").alias("reason"), "tenant_id", "idempotency_key")
+        if seen["refused"]:
+            reason = F.when(F.col("__undecodable"), "undecodable").when(~has_key(), "no_key").otherwise("bad_quantity")
+            letters = letters.unionByName(batch.where(new & ~usable).select("log_offset", reason.alias("reason"), "tenant_id", "idempotency_key"))
+        letters.write.parquet(f"{folder}/letters")
         stats = self._count(good)
-        refused = bad.count()
-        stats.read += refused
-        stats.conflicts += refused
-        manifest = {"from": start, "next_offset": bounds["high"] + 1, "rows": f"{folder}/rows", "letters": f"{folder}/letters", **vars(stats)}
-        if not self._commits.publish(f"{start:020d}-{bounds['high'] + 1:020d}.json", json.dumps(manifest)):
+        stats.read += seen["refused"]
+        stats.conflicts += seen["refused"]
+        manifest = {"from": start, "next_offset": seen["high"] + 1, "rows": f"{folder}/rows", "letters": f"{folder}/letters", **vars(stats)}
+        if not self._commits.publish(f"{start:020d}-{seen['high'] + 1:020d}.json", json.dumps(manifest)):
             raise RuntimeError("another writer published this batch")
         stats.add(replayed)
         return stats

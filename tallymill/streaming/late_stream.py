@@ -3,7 +3,8 @@
 The stream form of ``late_windows``. Rows past the cut-off are diverted by their own clocks before the aggregation, so none
 is lost silently; the watermark, which trails the latest event time by the allowed lateness, only lets Spark drop state of
 days that no row can reach any more. Each micro-batch emits the keys it changed with their new totals; the sink keeps every
-version, and the latest is the corrected total. Messages delivered twice are dropped within the watermark's reach.
+version, and the latest is the corrected total. Messages delivered twice are dropped within the watermark's reach; where
+the first copy isn't usable the stream keeps a later one, which the batch operator, judging the kept copy, doesn't.
 """
 
 from __future__ import annotations

@@ -12,11 +12,12 @@ os.environ.setdefault("TZ", "UTC")
 
 @pytest.fixture(scope="session")
 def spark():
-    from tallymill.session import session
+    from tallymill.session import clear_scratch, session
 
     s = session("tests", cpus=4, spark__sql__shuffle__partitions="4", spark__driver__memory="3g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_scratch(s)
     s.stop()
 
 
