@@ -39,9 +39,13 @@ def first_rows(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return of_log.groupBy(_MESSAGE).agg(F.min("o").alias("first_offset"), F.min_by("f", "o").alias("first_fingerprint"))
 
 
-def classify(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """``log`` with ``outcome`` and ``first_fingerprint`` (hex)."""
-    joined = skew_join(_with_message(log), first_rows(log, stored), _MESSAGE)
+def classify(log: DataFrame, stored: DataFrame | None = None, skewed: bool = True) -> DataFrame:
+    """``log`` with ``outcome`` and ``first_fingerprint`` (hex).
+
+    ``skewed=False`` joins the firsts back by an ordinary join; it is for batches whose size is bounded, where no key can be too large for a task.
+    """
+    rows, firsts = _with_message(log), first_rows(log, stored)
+    joined = skew_join(rows, firsts, _MESSAGE) if skewed else rows.join(firsts, _MESSAGE, "left")
     same = F.col("first_fingerprint").isNull() | F.hex("fingerprint").eqNullSafe(F.col("first_fingerprint"))
     outcome = F.when(F.col("log_offset") == F.col("first_offset"), "inserted").when(same, "duplicate").otherwise("conflict")
     return joined.withColumn("outcome", outcome).drop(_MESSAGE, "first_offset")

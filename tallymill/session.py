@@ -68,6 +68,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    Only an input of a few files or row groups is moved; one that already has a partition for each core, as any large one has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 class SharedFiles:
     """The few calls on the shared file system that the drivers of multi-step jobs need."""
 

@@ -24,6 +24,8 @@ from tallymill.sources.log_segments import register
 from tallymill.sources.requests import decode_event
 
 ROW = "id bigint, tenant_id string, meter string, quantity decimal(38,9), occurred_at timestamp, received_at timestamp, idempotency_key string, payload_fingerprint binary"
+#: Rows from which a batch is too large to trust that no key is too large for a task.
+LARGE_BATCH = 5_000_000
 LETTER = "log_offset bigint, reason string, tenant_id string, idempotency_key string"
 
 
@@ -65,8 +67,9 @@ class Consumer:
         return self._read("rows", ROW)
 
     def dead_letters(self) -> DataFrame:
-        """Conflicts and quarantined rows with their reasons."""
-        return self._read("letters", LETTER)
+        """Conflicts, quarantined and undecodable rows with their reasons."""
+        conflicts = self._read("conflicting", ROW).select(F.col("id").alias("log_offset"), F.lit("key_reuse").alias("reason"), "tenant_id", "idempotency_key")
+        return conflicts.unionByName(self._read("refused", LETTER))
 
     @staticmethod
     def _decoded(batch: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ class Consumer:
         return batch.select("log_offset", event.alias("e")).select("log_offset", "e.*", F.col("e").isNull().alias("__undecodable"))
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [m[kind] for m in self.manifests()]
+        paths = [m[kind] for m in self.manifests() if m[kind]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def apply(self, batch: DataFrame) -> Stats:
@@ -92,10 +95,11 @@ class Consumer:
         poison = has_key() & F.col("quantity").isNotNull() & decimal.isNull()
         new = F.col("log_offset") >= start
         first = lambda c: F.min(F.when(c, F.col("log_offset")))
-        seen = batch.agg(F.min("log_offset").alias("low"), F.max("log_offset").alias("high"), first(new & poison).alias("poison"), F.count(F.when(new & ~usable, 1)).alias("refused")).first()
+        count = lambda c: F.count(F.when(c, 1))
+        seen = batch.agg(F.min("log_offset").alias("low"), F.max("log_offset").alias("high"), first(new & poison).alias("poison"), count(new & usable).alias("usable"), count(new & ~usable).alias("unusable")).first()
         if seen["high"] is None:
             return Stats()
-        published = self.rows()
+        published, skewed = self.rows(), seen["usable"] > LARGE_BATCH
         replayed = Stats()
         if seen["low"] < start:
             replayed = self._count(classify(batch.where(~new & usable), published))
@@ -106,20 +110,16 @@ class Consumer:
         if self.on_poison == "fail" and seen["poison"] is not None:
             raise ValueError(f"quantity at offset {seen['poison']} is no decimal")
         folder = f"{self.home}/data/{start}-{uuid.uuid4().hex[:12]}"
-        good = classify(batch.where(new & usable), published)
-        good.write.parquet(f"{folder}/classified")
-        good = self.spark.read.schema(good.schema).parquet(f"{folder}/classified")
-        rows = good.where("outcome = 'inserted'").select(F.col("log_offset").alias("id"), "tenant_id", "meter", decimal.alias("quantity"), "occurred_at", "received_at", "idempotency_key", F.col("fingerprint").alias("payload_fingerprint"))
-        rows.write.parquet(f"{folder}/rows")
-        letters = good.where("outcome = 'conflict'").select("log_offset", F.lit("key_reuse").alias("reason"), "tenant_id", "idempotency_key")
-        if seen["refused"]:
+        judged = classify(batch.where(new & usable), published, skewed).where("outcome <> 'duplicate'")
+        judged.select(F.col("log_offset").alias("id"), "tenant_id", "meter", decimal.alias("quantity"), "occurred_at", "received_at", "idempotency_key", F.col("fingerprint").alias("payload_fingerprint"), "outcome").write.partitionBy("outcome").parquet(folder)
+        n = {r["outcome"]: r["count"] for r in self.spark.read.schema(f"{ROW}, outcome string").parquet(folder).groupBy("outcome").count().collect()}
+        stats = Stats(seen["usable"], n.get("inserted", 0), seen["usable"] - sum(n.values()), n.get("conflict", 0))
+        if seen["unusable"]:
             reason = F.when(F.col("__undecodable"), "undecodable").when(~has_key(), "no_key").otherwise("bad_quantity")
-            letters = letters.unionByName(batch.where(new & ~usable).select("log_offset", reason.alias("reason"), "tenant_id", "idempotency_key"))
-        letters.write.parquet(f"{folder}/letters")
-        stats = self._count(good)
-        stats.read += seen["refused"]
-        stats.conflicts += seen["refused"]
-        manifest = {"from": start, "next_offset": seen["high"] + 1, "rows": f"{folder}/rows", "letters": f"{folder}/letters", **vars(stats)}
+            batch.where(new & ~usable).select("log_offset", reason.alias("reason"), "tenant_id", "idempotency_key").write.parquet(f"{folder}-refused")
+            stats.add(Stats(seen["unusable"], 0, 0, seen["unusable"]))
+        paths = {"rows": f"{folder}/outcome=inserted" if stats.inserted else None, "conflicting": f"{folder}/outcome=conflict" if n.get("conflict") else None, "refused": f"{folder}-refused" if seen["unusable"] else None}
+        manifest = {"from": start, "next_offset": seen["high"] + 1, **paths, **vars(stats)}
         if not self._commits.publish(f"{start:020d}-{seen['high'] + 1:020d}.json", json.dumps(manifest)):
             raise RuntimeError("another writer published this batch")
         stats.add(replayed)
