@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.session import written
+from tallymill.session import spread, written
 
 #: A public vocabulary file; any ``.tiktoken`` file of base64 token and rank will do.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -182,7 +182,7 @@ def pack(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -
     sizes = [(r[0], r[1]) for r in targets.where("target_id is not null and capacity_tokens > 0").select("target_id", "capacity_tokens").distinct().orderBy("target_id", "capacity_tokens").limit(1001).collect()]
     if len(sizes) > 1000:
         raise ValueError("more than 1000 container sizes")
-    local = documents.select("doc_id", "text").mapInArrow(_packer(sizes, lambda: token_counter(tokenizer)), PLACED)
+    local = spread(documents.select("doc_id", "text")).mapInArrow(_packer(sizes, lambda: token_counter(tokenizer)), PLACED)
     placed = written(local, "packed-0")
     final, level = [placed.where("done")], 0
     while True:
