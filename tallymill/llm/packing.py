@@ -16,6 +16,7 @@ containers. Empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -48,6 +49,10 @@ _ARROW = pa.schema([("target_id", pa.int32()), ("capacity", pa.int32()), ("conta
 def token_counter(path: str) -> Callable[[str], int]:
     import tiktoken
 
+    if not os.path.exists(path):  # the package that holds the public vocabularies knows their place
+        import public_tokenizers
+
+        path = public_tokenizers.path(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
