@@ -16,6 +16,7 @@ BACKFILL_DAYS = 35
 BODY_BYTES = 64 * 1024
 
 
+# Fixed values, here and below: the statuses, codes and details that clients are answered with.
 def _outcome(status: int, code: str, detail: str) -> Column:
     return F.struct(F.lit(status).alias("status"), F.lit(code).alias("code"), F.lit(detail).alias("detail"))
 

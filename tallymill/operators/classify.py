@@ -6,7 +6,8 @@ no stored fingerprint means duplicate, a missing one against a stored one means
 
 Firsts are found by an aggregation that thins hot keys before its shuffle; they are joined back with the heavy keys'
 firsts broadcast (``skew_join``), so a key that makes up a third of the log is spread over all tasks. Rows without key
-aren't classified. Null tenants are a tenant of their own. Extra columns of the log are kept.
+aren't classified. Null tenants are a tenant of their own. Extra columns of the log are kept, but for those named like the
+two results; names that begin with ``__`` are reserved.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def _with_message(df: DataFrame) -> DataFrame:
 
 
 def first_rows(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """(message, first_offset, first_fingerprint): the row that each key's deliveries are compared with.
+    """(message, __first_offset, __first_fingerprint): the row that each key's deliveries are compared with.
 
     ``stored`` rows come before all of the log and have negative offsets here. If they have a column ``rank`` (not negative), the lowest is first
     among rows of one key.
@@ -36,7 +37,7 @@ def first_rows(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     of_log = _with_message(log).select(_MESSAGE, F.col("log_offset").alias("o"), F.hex("fingerprint").alias("f"))
     if stored is not None:
         of_log = of_log.unionByName(_with_message(stored).select(_MESSAGE, ((F.col("rank") if "rank" in stored.columns else F.lit(0)) - _STORED).cast("bigint").alias("o"), F.hex("payload_fingerprint").alias("f")))
-    return of_log.groupBy(_MESSAGE).agg(F.min("o").alias("first_offset"), F.min_by("f", "o").alias("first_fingerprint"))
+    return of_log.groupBy(_MESSAGE).agg(F.min("o").alias("__first_offset"), F.min_by("f", "o").alias("__first_fingerprint"))
 
 
 def classify(log: DataFrame, stored: DataFrame | None = None, skewed: bool = True) -> DataFrame:
@@ -46,6 +47,6 @@ def classify(log: DataFrame, stored: DataFrame | None = None, skewed: bool = Tru
     """
     rows, firsts = _with_message(log), first_rows(log, stored)
     joined = skew_join(rows, firsts, _MESSAGE) if skewed else rows.join(firsts, _MESSAGE, "left")
-    same = F.col("first_fingerprint").isNull() | F.hex("fingerprint").eqNullSafe(F.col("first_fingerprint"))
-    outcome = F.when(F.col("log_offset") == F.col("first_offset"), "inserted").when(same, "duplicate").otherwise("conflict")
-    return joined.withColumn("outcome", outcome).drop(_MESSAGE, "first_offset")
+    same = F.col("__first_fingerprint").isNull() | F.hex("fingerprint").eqNullSafe(F.col("__first_fingerprint"))
+    outcome = F.when(F.col("log_offset") == F.col("__first_offset"), "inserted").when(same, "duplicate").otherwise("conflict")
+    return joined.withColumns({"outcome": outcome, "first_fingerprint": F.col("__first_fingerprint")}).drop(_MESSAGE, "__first_offset", "__first_fingerprint")

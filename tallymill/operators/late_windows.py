@@ -5,8 +5,9 @@ The event-time window is a UTC day of ``occurred_at``. Rows are taken in order o
 (tenant_id, meter, day). Each arrival day that touches a key emits an upsert with the key's new totals, so the last version
 of a key is its corrected total, and every earlier version is what was known at the time.
 
-Nulls and bad rows: a null tenant is a tenant of its own; rows without key, meter, times or plain quantity, and second
-deliveries, go to the report with their reason. Empty input gives empty outputs. Extra columns are ignored.
+Nulls and bad rows: a null tenant is a tenant of its own; rows without key, meter, times or plain quantity go to the report
+with their reason. Second deliveries change no total and are not reported here. Empty input gives empty outputs. Extra
+columns are ignored, whatever their names. A total with more digits than DECIMAL(38,9) holds raises an error.
 """
 
 from __future__ import annotations

@@ -64,10 +64,12 @@ def skew_aggregate(df: DataFrame, key: str, partial: dict[str, Column], final: d
 
 
 def skew_join(facts: DataFrame, dimension: DataFrame, key: str, share: float = 1 / 50) -> DataFrame:
-    """Left join of ``facts`` with ``dimension``, which has at most one row per ``key``.
+    """Left join of ``facts`` with ``dimension``, which has at most one row per ``key`` and no other column of a fact's name.
 
     The dimension's rows of heavy keys are broadcast (at most ``2/share``); the rest is an ordinary shuffle join.
     """
+    if clash := sorted(set(facts.columns) & set(dimension.columns) - {key}):
+        raise ValueError(f"columns on both sides: {clash}")
     heavy, _ = heavy_keys(facts, key, share)
     renamed = dimension.withColumnRenamed(key, "__skew_dimension_key")
     same = F.col(key).eqNullSafe(F.col("__skew_dimension_key"))

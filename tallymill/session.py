@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,15 @@ def session(app: str = "tallymill", cpus: int | str = "*", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where it lies, also if only the driver's ``sys.path`` names that place."""
+    root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 

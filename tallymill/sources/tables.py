@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tallymill.session import importable
+
 _s, _l, _t, _b = T.StringType(), T.LongType(), T.TimestampType(), T.BinaryType()
 
 
@@ -22,5 +24,5 @@ SCHEMAS = {"usage_events": USAGE_EVENTS, "stored_events": STORED_EVENTS, "ingest
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read ``name`` below ``sf_dir``. Known tables get their declared schema: nothing is inferred."""
-    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    reader = importable(spark).read.schema(SCHEMAS[name]) if name in SCHEMAS else importable(spark).read
     return reader.parquet(f"{sf_dir}/{name}.parquet")

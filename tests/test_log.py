@@ -129,7 +129,7 @@ def test_classification(spark):
         {"idempotency_key": "", "fingerprint": b"2"},  # no key
     ]
     stored = spark.createDataFrame([("acme", "s", b"1"), ("acme", "old", None)], "tenant_id string, idempotency_key string, payload_fingerprint binary")
-    got = classify(usage(spark, rows).withColumn("first_offset", F.lit(5)).drop("first_offset"), stored)
+    got = classify(usage(spark, rows).withColumns({"first_offset": F.lit(5), "outcome": F.lit("x"), "first_fingerprint": F.lit("y"), "rank": F.lit(1)}), stored)
     want = ["inserted", "duplicate", "conflict", "duplicate", "conflict", "inserted", "duplicate", "inserted", "duplicate", "conflict", "duplicate"]
     assert [r["outcome"] for r in got.orderBy("log_offset").collect()] == want
     assert classify(usage(spark, [])).count() == 0

@@ -26,8 +26,14 @@ def test_every_oracle_has_a_query():
 
 
 def test_no_float_leaves_the_core(spark, smallest):
-    from tallymill.plans import data_problems, event_log
+    from tallymill.plans import adapter, data_problems, event_log
 
-    for m in (data_problems, event_log):
+    for m in (adapter, data_problems, event_log):
         for name, f in m.QUERIES.items():
             assert not [t for _, t in f(spark, smallest).dtypes if t in ("float", "double")], name
+
+
+def test_known_outcomes_of_the_events_table(spark, smallest):
+    """Counts and sums published with the rules of the derived log, for the smallest tables."""
+    got = {r["outcome"]: (r["deliveries"], r["quantity"]) for r in entry.queries()["adapter_outcomes"](spark, smallest).collect()}
+    assert got == {"inserted": (892, "44467.74"), "duplicate": (128, "6111.61"), "conflict": (81, "4353.63"), "event_too_old": (119, "6318.30"), "invalid_field": (14, "810.86")}
