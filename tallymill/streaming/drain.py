@@ -1,7 +1,7 @@
 """Draining the log into a table, exactly once, without a transactional store.
 
 Rows and progress become visible in one rename: a micro-batch writes its rows to a file folder that nobody reads yet, then
-publishes a manifest ``<from>-<to>.json`` that names the folder, the next offset and the batch's statistics. Readers find
+publishes a manifest ``<from>.json`` that names the folder, the next offset and the batch's statistics. Readers find
 rows only through manifests. Manifests, not the stream's checkpoint, say how far a consumer is: a batch is cut at the last
 published offset, so replay after a lost checkpoint only counts duplicates and conflicts, and a batch that failed or was
 interrupted leaves nothing that anyone sees. One consumer writes one table; others have tables of their own.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymill.functions.keys import has_key
+from tallymill.functions.keys import has_key, id_hi, id_lo
 from tallymill.operators.classify import classify
 from tallymill.session import SharedFiles
 from tallymill.sources.log_segments import register
@@ -26,6 +26,8 @@ from tallymill.sources.requests import decode_event
 ROW = "id bigint, tenant_id string, meter string, quantity decimal(38,9), occurred_at timestamp, received_at timestamp, idempotency_key string, payload_fingerprint binary"
 #: Rows from which a batch is too large to trust that no key is too large for a task.
 LARGE_BATCH = 5_000_000
+#: Rows up to which a batch's identifiers, 16 bytes each, are broadcast, so that published rows of other keys are left out as they are scanned.
+SMALL_BATCH = 1_000_000
 LETTER = "log_offset bigint, reason string, tenant_id string, idempotency_key string"
 
 
@@ -41,6 +43,13 @@ class Stats:
             setattr(self, name, getattr(self, name) + getattr(other, name))
 
 
+def _with_keys_of(published: DataFrame, batch: DataFrame) -> DataFrame:
+    """The published rows whose key occurs in the batch; the published table is scanned for two columns and not shuffled."""
+    ids = {"__hi": id_hi("tenant_id", "idempotency_key"), "__lo": id_lo("tenant_id", "idempotency_key")}
+    mine = batch.where(has_key()).withColumns(ids).select(*ids).distinct()
+    return published.withColumns(ids).join(F.broadcast(mine), list(ids), "left_semi").drop(*ids)
+
+
 class Consumer:
     """A named consumer of an event log into the table below ``root/<name>``.
 
@@ -96,10 +105,12 @@ class Consumer:
         new = F.col("log_offset") >= start
         first = lambda c: F.min(F.when(c, F.col("log_offset")))
         count = lambda c: F.count(F.when(c, 1))
-        seen = batch.agg(F.min("log_offset").alias("low"), F.max("log_offset").alias("high"), first(new & poison).alias("poison"), count(new & usable).alias("usable"), count(new & ~usable).alias("unusable")).first()
+        seen = batch.agg(F.count(F.lit(1)).alias("rows"), F.min("log_offset").alias("low"), F.max("log_offset").alias("high"), first(new & poison).alias("poison"), count(new & usable).alias("usable"), count(new & ~usable).alias("unusable")).first()
         if seen["high"] is None:
             return Stats()
-        published, skewed = self.rows(), seen["usable"] > LARGE_BATCH
+        published, skewed = self.rows(), seen["rows"] > LARGE_BATCH
+        if start and seen["rows"] <= SMALL_BATCH:
+            published = _with_keys_of(published, batch)
         replayed = Stats()
         if seen["low"] < start:
             replayed = self._count(classify(batch.where(~new & usable), published))
@@ -120,7 +131,7 @@ class Consumer:
             stats.add(Stats(seen["unusable"], 0, 0, seen["unusable"]))
         paths = {"rows": f"{folder}/outcome=inserted" if stats.inserted else None, "conflicting": f"{folder}/outcome=conflict" if n.get("conflict") else None, "refused": f"{folder}-refused" if seen["unusable"] else None}
         manifest = {"from": start, "next_offset": seen["high"] + 1, **paths, **vars(stats)}
-        if not self._commits.publish(f"{start:020d}-{seen['high'] + 1:020d}.json", json.dumps(manifest)):
+        if not self._commits.publish(f"{start:020d}.json", json.dumps(manifest)):
             raise RuntimeError("another writer published this batch")
         stats.add(replayed)
         return stats

@@ -70,6 +70,16 @@ def test_interrupted_batch_is_invisible(spark, tmp_path, monkeypatch):
     assert consumer.rows().count() == consumer.next_offset() == 20
 
 
+def test_a_second_writer_loses(spark, tmp_path, monkeypatch):
+    rows = usage(spark, [{} for _ in range(20)])
+    one, two = (Consumer(spark, str(tmp_path / "out"), "a") for _ in range(2))
+    monkeypatch.setattr(two, "next_offset", lambda: 0)  # it has looked before the other published
+    one.apply(rows.where("log_offset < 5"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.apply(rows.where("log_offset < 9"))
+    assert one.rows().count() == one.next_offset() == 5
+
+
 def test_lost_offsets_are_noticed(spark, tmp_path):
     rows = usage(spark, [{} for _ in range(20)])
     consumer = Consumer(spark, str(tmp_path / "out"), "a")
