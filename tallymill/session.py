@@ -79,13 +79,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes a core that make up a partition of their own in any scan.
+_OWN_PARTITION = 4 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores, for work that costs far more than moving its rows.
+    """``df`` in a partition for each core, for work that costs far more than moving its rows.
 
-    Only an input of a few files or row groups is moved; one that already has a partition for each core, as any large one has, stays as it is.
+    Only an input that the planner takes for smaller than 4 MiB a core is moved, as its few files or row groups would leave cores idle; a larger
+    one stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * _OWN_PARTITION else df
 
 
 class SharedFiles:

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tallymill.session import SharedFiles, clear_scratch, scratch, shared_dir, written
+from tallymill.session import SharedFiles, clear_scratch, scratch, shared_dir, spread, written
 from tests.helpers import values
 
 
@@ -40,3 +40,10 @@ def test_publish_is_first_wins(spark, tmp_path):
     assert files.names() == ["a.json"] and files.read("a.json") == "one"
     files.delete("a.json")
     assert not files.exists("a.json")
+
+
+def test_only_small_inputs_are_spread(spark, monkeypatch):
+    small = written(spark.range(100).coalesce(1), "small")
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr("tallymill.session._OWN_PARTITION", 1)
+    assert spread(small) is small
