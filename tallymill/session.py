@@ -90,7 +90,7 @@ def spread(df: DataFrame) -> DataFrame:
     one stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * _OWN_PARTITION else df
 
 
