@@ -90,7 +90,8 @@ def spread(df: DataFrame) -> DataFrame:
     one stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # whole files: estimates for pruned columns take texts for short
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * _OWN_PARTITION else df
 
 
