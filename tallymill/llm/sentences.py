@@ -5,7 +5,8 @@ lower-case word is an abbreviation there; a word capitalised after a lower-case
 is none) and then split with that knowledge. What the document leaves open is answered by counts over all documents, then
 by short lists of abbreviations. Which marks end a sentence, and what must follow, depends on the script around them.
 
-The corpus counts are one aggregation of (word, counts), thinned in each task; only words with at least ``LEAST_SHARE`` of
+The corpus counts are one aggregation of (word, counts), a row for each word and task, so that bare uses count wherever they
+stand; only words that also stand before a point are written, and only those with at least ``LEAST_SHARE`` of
 all words before a point are kept, so at most ``1/LEAST_SHARE`` short words reach the driver and the tasks.
 
 Null and empty texts and messages without own prose have no rows; null doc_id is kept; repeated rows give repeated
@@ -438,11 +439,11 @@ def sentences(text: str, corpus: frozenset[str] = frozenset()) -> list[tuple[int
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: counts of words before points. Emitted whenever many words have gathered, so memory stays bounded."""
+    """Per task: counts of all words, also those that stand before no point here. Emitted whenever many words have gathered, so memory stays bounded."""
     counts: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
-        words = sorted({w for w, k in counts if k != "bare"})
+        words = sorted({w for w, _ in counts})
         columns = [words, *([counts[w, k] for w in words] for k in ("low", "other", "bare"))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNTS_ARROW.types, strict=True)], schema=_COUNTS_ARROW)
 
@@ -459,8 +460,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_abbreviations(documents: DataFrame) -> frozenset[str]:
     """Words that stand before a point far more often than without, and mostly go on in lower case, over all documents."""
-    per = written(spread(documents.select("text")).mapInArrow(_count, COUNTS).groupBy("word").agg(F.sum("low").alias("low"), F.sum("other").alias("other"), F.sum("bare").alias("bare")), "sentence-counts")
     dotted = F.col("low") + F.col("other")
+    counts = spread(documents.select("text")).mapInArrow(_count, COUNTS).groupBy("word").agg(F.sum("low").alias("low"), F.sum("other").alias("other"), F.sum("bare").alias("bare"))
+    per = written(counts.where(dotted > 0), "sentence-counts")
     total = per.agg(F.sum(dotted)).first()[0] or 0
     rows = per.where((dotted >= max(3, total * LEAST_SHARE)) & (F.col("low") * 2 >= dotted) & (dotted >= F.col("bare") * 2)).select("word").collect()
     return frozenset(r[0] for r in rows)

@@ -1,5 +1,6 @@
 import pytest
 
+from tallymill.llm import sentences as module
 from tallymill.llm.sentences import corpus_abbreviations, own_prose, sentences, split_sentences, ungarbled
 
 # sentences of a paragraph, joined by a space (or nothing, in scripts without)
@@ -115,6 +116,14 @@ def test_corpus_statistics_and_tables(spark):
     assert split_sentences(docs.limit(0)).count() == 0
 
 
+def test_corpus_counts_bare_uses_in_every_partition(spark, monkeypatch):
+    monkeypatch.setattr(module, "spread", lambda df: df)
+    rows = [(0, "\nThe hist. data and the vrz. rows came. " * 60), (1, "\nSome hist rows came. " * 1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(2, "doc_id")
+    assert docs.rdd.glom().map(len).collect() == [1, 1]
+    assert corpus_abbreviations(docs) == corpus_abbreviations(docs.coalesce(1)) == {"vrz"}
+
+
 def test_spans_are_in_code_points():
     text = "\n🙂🙂 Fine. Ünd so.\n"
     assert [(a, b) for a, b in sentences(text)] == [(1, 9), (10, 17)]
