@@ -36,9 +36,8 @@ BLOCK_CHARS = 16_000_000
 #: Characters of training text in one suffix array at most, one document aside.
 SHARD_CHARS = 4_000_000
 
-#: Pairs of training and test places that a shard lists one by one. Beyond, equal suffixes of one test text are searched once; no document or item
-#: is lost by that, but the longest run is then measured from one of the equal places only.
-MOST_HITS = 20_000_000
+#: Common runs that a shard lists at a time; results don't depend on it.
+MOST_HITS = 2_000_000
 
 MATCHES = "doc_id bigint, item_id bigint, part int, doc_unit bigint, field string, item_unit int, units int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("part", pa.int32()), ("doc_unit", pa.int64()), ("field", pa.string()), ("item_unit", pa.int32()), ("units", pa.int32())])
@@ -150,11 +149,16 @@ def _number(keys: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return ids
 
 
-def _long_enough(ids: np.ndarray, least: int) -> np.ndarray:
-    """Places from which at least ``least`` ids other than -1 follow."""
+def _room(ids: np.ndarray) -> np.ndarray:
+    """How many ids other than -1 follow from each place on."""
     here = np.arange(len(ids))
     gap = np.where(ids < 0, here, len(ids))
-    return np.flatnonzero(np.minimum.accumulate(gap[::-1])[::-1] - here >= least)
+    return np.minimum.accumulate(gap[::-1])[::-1] - here
+
+
+def _long_enough(ids: np.ndarray, least: int) -> np.ndarray:
+    """Places from which at least ``least`` ids other than -1 follow."""
+    return np.flatnonzero(_room(ids) >= least)
 
 
 def item_texts(rows: list[tuple[int, str, str]], letters: bool) -> ItemTexts:
@@ -203,8 +207,42 @@ def _bounds(ids: np.ndarray, array: np.ndarray, probes: np.ndarray) -> tuple[np.
     return search(False), search(True)
 
 
+def _agreeing(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, known: int) -> np.ndarray:
+    """How many units agree from x[a] and y[b] on, of which ``known`` are known to; a -1 ends them, and both arrays."""
+    length, open_, width = np.full(len(a), known), np.arange(len(a)), 16
+    while open_.size:
+        step = np.arange(max(1, min(width, (1 << 22) // open_.size)))
+        done = length[open_]
+        mine = x[np.minimum((a[open_] + done)[:, None] + step, len(x) - 1)]
+        same = (mine == y[np.minimum((b[open_] + done)[:, None] + step, len(y) - 1)]) & (mine >= 0)
+        more = np.where(same.all(axis=1), len(step), np.argmin(same, axis=1))
+        length[open_] += more
+        open_, width = open_[more == len(step)], width * 2
+    return length
+
+
+def _first_longest(a: np.ndarray, b: np.ndarray, length: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Of each pair of texts, in their order, the longest run; of equally long ones the first along the diagonals."""
+    order = np.lexsort((a, a - b, -length, pair))
+    return order[np.append(True, np.diff(pair[order]) != 0)]
+
+
+def _longest(short: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, pair: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(a, b, length, pair) of the longest run of each pair of texts among those that begin at short[a] and ids[b]; ``room`` bounds their lengths."""
+    lead = _first_longest(a, b, room, pair)
+    reached = _agreeing(short, ids, a[lead], b[lead], least)
+    each = np.searchsorted(pair[lead], pair)
+    rest = (room >= reached[each]) & (reached < room[lead])[each]  # a run that fills the most room there is can't be beaten
+    rest[lead] = False
+    rest = np.flatnonzero(rest)
+    a, b, pair = (np.append(x[lead], x[rest]) for x in (a, b, pair))
+    length = np.append(reached, _agreeing(short, ids, a[len(lead) :], b[len(lead) :], least))
+    best = _first_longest(a, b, length, pair)
+    return a[best], b[best], length[best], pair[best]
+
+
 def longest_matches(units: Units, test: ItemTexts) -> list[tuple[np.ndarray, ...]]:
-    """(text number, unit in it, test text, unit in that, length) of every maximal common run of at least ``least`` units."""
+    """(text number, unit in it, test text, unit in that, length) of the longest common run, of at least ``least`` units, of each text and test text."""
     least, own = test.least, test.suffixes()
     if not len(own) or not len(units.ids):
         return []
@@ -219,25 +257,46 @@ def longest_matches(units: Units, test: ItemTexts) -> list[tuple[np.ndarray, ...
     keep[starts + least] -= 1
     inside = np.cumsum(keep[:-1]) > 0  # the stretches; one unit more keeps them apart
     kept = np.flatnonzero(inside | np.append(False, inside[:-1]))
-    short, source = np.where(inside[kept], ids[kept], -1), source[kept]
+    short, source = np.append(np.where(inside[kept], ids[kept], -1), -1), np.append(source[kept], -1)
     array = suffix_array(short, _long_enough(short, least), least)
     probes = test.ids[own[:, None] + np.arange(least)]
     low, high = _bounds(short, array, probes)
-    hits = high - low
-    if hits.sum() > MOST_HITS:  # a text that repeats itself: one of its equal suffixes finds the same places
-        first = np.unique(np.column_stack([test.text_of[own], low, high]), axis=0, return_index=True)[1]
-        own, low, hits = own[first], low[first], hits[first]
-    if not hits.sum():
+    own, low, high = (x[high > low] for x in (own, low, high))
+    if not len(own):
         return []
-    probe = np.repeat(np.arange(len(own)), hits)
-    at = array[np.repeat(low, hits) + np.arange(len(probe)) - np.repeat(np.cumsum(hits) - hits, hits)]
-    a, b = at, own[probe]
-    order = np.lexsort((a, a - b))  # along each diagonal, neighbouring hits are one longer run
-    a, b = a[order], b[order]
-    fresh = np.append(True, (np.diff(a) != 1) | (np.diff(a - b) != 0))
-    first = np.flatnonzero(fresh)
-    length = np.diff(np.append(first, len(a))) - 1 + least
-    unit, theirs = source[a[first]], b[first]
+    # A run begins where the units before differ. Within a span of equal suffixes, places after the same unit are put side by side; of a test suffix's
+    # span all but those after its own unit before are beginnings. So a text that repeats itself lists its runs, not all the places within them.
+    spans, one, at = np.unique(low, return_index=True, return_inverse=True)
+    sizes = high[one] - spans
+    span, offset = np.repeat(spans, sizes), np.cumsum(sizes) - sizes
+    places = array[span + np.arange(len(span)) - np.repeat(offset, sizes)]
+    before, theirs = np.append(-1, short).astype(np.int64), np.append(-1, test.ids).astype(np.int64)[own]
+    places = places[np.lexsort((before[places], span))]
+    width = len(test.vocabulary) + 1
+    key, same = span * width + before[places] + 1, low * width + theirs + 1
+    skip = np.searchsorted(key, same)
+    skipped = np.where(theirs < 0, 0, np.searchsorted(key, same, side="right") - skip)
+    count = sizes[at] - skipped
+    ends = np.cumsum(count)
+    first = offset[at] - (ends - count)
+    room_in, room_of = _room(short), _room(test.ids)
+    best: tuple[np.ndarray, ...] | None = None
+    for begin in range(0, int(ends[-1]), MOST_HITS):
+        k = np.arange(begin, min(begin + MOST_HITS, int(ends[-1])))
+        probe = np.searchsorted(ends, k, side="right")
+        k += first[probe]
+        k += np.where(k >= skip[probe], skipped[probe], 0)
+        a, b = places[k], own[probe]
+        pair = units.owner[source[a]].astype(np.int64) * len(test.items) + test.text_of[b]
+        found = _longest(short, test.ids, a, b, np.minimum(room_in[a], room_of[b]), pair, least)
+        if best is not None:
+            found = tuple(np.append(x, y) for x, y in zip(best, found, strict=True))
+            of_both = _first_longest(*found)
+            found = tuple(x[of_both] for x in found)
+        best = found
+    a, b, length, _ = best
+    order = np.lexsort((a, a - b))
+    unit, theirs, length = source[a[order]], b[order], length[order]
     return [(units.owner[unit], units.place[unit], test.text_of[theirs], test.place[theirs], length)]
 
 

@@ -92,6 +92,35 @@ def test_text_that_repeats_itself(monkeypatch):
     assert max(r["units"] for r in leakage._shard(docs, tests).to_pylist()) >= 12
 
 
+def test_longest_run_of_texts_that_repeat_themselves():
+    tests = [leakage.item_texts([(9, "passage", "la " * 3000)], False)]
+    (row,) = leakage._shard([(1, 0, "la " * 10_000, 1)], tests).to_pylist()
+    assert (row["units"], row["doc_unit"], row["item_unit"]) == (3000, 0, 0)
+
+
+def test_longest_runs_do_not_depend_on_how_many_are_listed(monkeypatch):
+    r = random.Random(8)
+    periodic = lambda: " ".join((r.choice(["a b", "a", "a a b", "b a"]) + " ") * r.randrange(2, 20) + r.choice(["", "c", "x"]) for _ in range(r.randrange(1, 6)))
+    docs, items = [(k, 0, periodic(), k) for k in range(12)], [(k, "passage", periodic()) for k in range(10)]
+
+    def longest(x, y):
+        best, row = 0, [0] * (len(y) + 1)
+        for u in x:
+            row = [0] + [row[j] + 1 if u == v else 0 for j, v in enumerate(y)]
+            best = max(best, *row)
+        return best
+
+    want = {(d, i): n for d, _, x, _ in docs for i, _, y in items if (n := longest(x.split(), y.split())) >= WORDS}
+    assert len(want) > 20
+    got = []
+    for most in (10**9, 1000, 7):
+        monkeypatch.setattr(leakage, "MOST_HITS", most)
+        got.append(leakage._shard(docs, [leakage.item_texts(items, False)]).to_pylist())
+        assert {(r["doc_id"], r["item_id"]): r["units"] for r in got[-1]} == want
+        assert all(docs[r["doc_id"]][2].split()[r["doc_unit"] :][: r["units"]] == items[r["item_id"]][2].split()[r["item_unit"] :][: r["units"]] for r in got[-1])
+    assert got[0] == got[1] == got[2]
+
+
 def test_empty_tables(spark):
     d, i = frames(spark, [(1, "\n" + PASSAGES[0])])
     assert leaks(d.limit(0), i).count() == leaks(d, i.limit(0)).count() == 0
