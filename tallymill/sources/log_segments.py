@@ -4,7 +4,8 @@ A segment ``<base offset, 20 digits>.log`` is a 16-byte header (magic, version,
 length and payload, payload. Offsets are dense from the base. Each segment is read by one task; filters on ``log_offset``
 leave out segments, and within one the reader steps over records it doesn't need. The last segment may end in a torn or
 damaged record, where its readable log ends, or be shorter than a header, which is an interrupted creation; anything of
-that kind in an earlier segment, a foreign file or an unknown version fails the query, as it would be loss of data.
+that kind in an earlier segment, a foreign file or an unknown version fails the query, as it would be loss of data. So the writer
+cuts such a tail off before it goes on.
 
 Checksums are computed for all records of a chunk at once, byte column by byte column.
 """
@@ -117,26 +118,6 @@ def encode_records(payloads: list[bytes]) -> list[bytes]:
     return [n + struct.pack(">I", int(c)) + p for n, c, p in zip(lengths, sums, payloads, strict=True)]
 
 
-def write_log(folder: str, payloads: list[bytes], segment_bytes: int = 64 * 1024 * 1024, base: int = 0) -> list[str]:
-    """Write the payloads as segments; a new one begins before a record that would make a non-empty one too large."""
-    os.makedirs(folder, exist_ok=True)
-    names: list[str] = []
-    out, size = None, 0
-    for k, record in enumerate(encode_records(payloads)):
-        if out is None or size + len(record) > segment_bytes and size > HEADER.size:
-            if out:
-                out.close()
-            names.append(segment_name(base + k))
-            out = open(os.path.join(folder, names[-1]), "xb")  # noqa: SIM115
-            out.write(HEADER.pack(MAGIC, VERSION, base + k))
-            size = HEADER.size
-        out.write(record)
-        size += len(record)
-    if out:
-        out.close()
-    return names
-
-
 def list_segments(folder: str) -> list[tuple[int, str]]:
     """(base offset, path) of each segment in order; other files are ignored, a ``.log`` with another name is an error."""
     found = []
@@ -230,6 +211,60 @@ def log_end(folder: str) -> int:
     return 0
 
 
+def recover(folder: str) -> int | None:
+    """Make the log's end fit to be written on: the last segment's torn or damaged tail is cut off, the file of an interrupted creation goes.
+
+    The next offset; None if there is no segment. A foreign file or an unknown version is an error and stays as it is.
+    """
+    found = list_segments(folder)
+    while found:
+        base, path = found.pop()
+        size = os.path.getsize(path)
+        if size < HEADER.size and found:
+            os.remove(path)
+            continue
+        with open(path, "r+b") as f:
+            if size < HEADER.size:  # the log's only file: its name keeps the offset
+                f.write(HEADER.pack(MAGIC, VERSION, base))
+            end, position = base, HEADER.size
+            for _, payload in read_segment(SegmentPart(path, base, 0, None, True)) if size >= HEADER.size else ():
+                end, position = end + 1, position + RECORD.size + len(payload)
+            f.truncate(position)
+            f.flush()
+            os.fsync(f.fileno())
+        return end
+    return None
+
+
+def write_log(folder: str, payloads: list[bytes], segment_bytes: int = 64 * 1024 * 1024, base: int | None = None) -> list[str]:
+    """Write the payloads as segments behind what the log holds; a new one begins before a record that would make a non-empty one too large.
+
+    The log is recovered first. ``base`` is where an empty log begins; another offset than a log's end is an error, as records would be lost.
+    """
+    os.makedirs(folder, exist_ok=True)
+    records, end = encode_records(payloads), recover(folder)
+    if end is not None and base not in (None, end):
+        raise LogError(f"the log ends at offset {end}, not {base}")
+    base = end if end is not None else base or 0
+    names: list[str] = []
+    out, size = None, 0
+    for k, record in enumerate(records):
+        if out is None or size + len(record) > segment_bytes and size > HEADER.size:
+            if out:
+                out.close()
+            names.append(segment_name(base + k))
+            path = os.path.join(folder, names[-1])
+            begun = k == 0 and os.path.exists(path)  # a segment that lost all its records
+            out = open(path, "r+b" if begun else "xb")  # noqa: SIM115
+            out.write(HEADER.pack(MAGIC, VERSION, base + k))
+            size = HEADER.size
+        out.write(record)
+        size += len(record)
+    if out:
+        out.close()
+    return names
+
+
 class LogReader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder, self.low, self.high = folder, 0, None

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tallymill.functions.keys import has_key, id_hi, id_lo
 from tallymill.operators.classify import classify
@@ -147,15 +148,31 @@ class Consumer:
         Files must arrive in order of their offsets, as a log's segments do. Without the checkpoint all files are read again, and the manifests
         turn what was applied into duplicates. Statistics cover committed batches only.
         """
-        return self._run(self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_path), checkpoint)
+        return self._run(self._files(log_path, schema, files_per_batch), checkpoint)
 
     def drain_segments(self, folder: str, checkpoint: str | None = None) -> Stats:
         """Read a segmented binary log from where this consumer's checkpoint stands to its end, in one batch."""
+        return self._run(self._segments(folder), checkpoint)
+
+    def tail(self, log_path: str, schema: T.StructType, every: str = "10 seconds", files_per_batch: int = 64, checkpoint: str | None = None) -> StreamingQuery:
+        """Like ``drain``, but go on until the query is stopped and look for new files each ``every``; the manifests have the statistics."""
+        return self._start(self._files(log_path, schema, files_per_batch), checkpoint, Stats(), processingTime=every)
+
+    def tail_segments(self, folder: str, every: str = "10 seconds", checkpoint: str | None = None) -> StreamingQuery:
+        """Like ``drain_segments``, but go on until the query is stopped and look for new records each ``every``."""
+        return self._start(self._segments(folder), checkpoint, Stats(), processingTime=every)
+
+    def _files(self, log_path: str, schema: T.StructType, files_per_batch: int) -> DataFrame:
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_path)
+
+    def _segments(self, folder: str) -> DataFrame:
         register(self.spark)
-        return self._run(self.spark.readStream.format("segmented_log").load(folder), checkpoint)
+        return self.spark.readStream.format("segmented_log").load(folder)
+
+    def _start(self, stream: DataFrame, checkpoint: str | None, total: Stats, **trigger) -> StreamingQuery:
+        return stream.writeStream.foreachBatch(lambda batch, _: total.add(self.apply(batch))).option("checkpointLocation", checkpoint or f"{self.home}/checkpoint").trigger(**trigger).start()
 
     def _run(self, stream: DataFrame, checkpoint: str | None) -> Stats:
         total = Stats()
-        query = stream.writeStream.foreachBatch(lambda batch, _: total.add(self.apply(batch))).option("checkpointLocation", checkpoint or f"{self.home}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        self._start(stream, checkpoint, total, availableNow=True).awaitTermination()
         return total

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.classify import classify
 from tallymill.operators.offsets import as_of, consumer_lag, high_water_mark, latest_cursors, segments
-from tallymill.sources.log_segments import HEADER, LogError, SegmentPart, crc32c, encode_records, list_segments, read_segment, register, write_log
+from tallymill.sources.log_segments import HEADER, LogError, SegmentPart, crc32c, encode_records, list_segments, read_segment, recover, register, write_log
 from tests.helpers import NOON, usage, values
 
 
@@ -109,6 +109,27 @@ def test_unfinished_creation_is_an_empty_tail(tmp_path):
     assert list(read_segment(SegmentPart(parts[1][1], 1, 0, None, True))) == []
 
 
+def test_writing_goes_on_after_a_crash(spark, tmp_path, payloads):
+    last = write_log(str(tmp_path), payloads, 600)[-1]
+    whole = [(k, p) for k, p in enumerate(payloads)]
+    for damage in (lambda: cut(tmp_path / last, 3), lambda: flip(tmp_path / last, os.path.getsize(tmp_path / last) - 1)):
+        damage()
+        with pytest.raises(LogError, match="ends at offset 59"):
+            write_log(str(tmp_path), payloads[59:], 600, base=60)
+        assert recover(str(tmp_path)) == recover(str(tmp_path)) == 59
+        (tmp_path / "00000000000000000059.log").write_bytes(b"\x4c\x47")
+        last = write_log(str(tmp_path), payloads[59:], 600)[-1]
+        assert last == "00000000000000000059.log"
+        assert [(r[0], bytes(r[1])) for r in load(spark, tmp_path).orderBy("log_offset").collect()] == whole
+    assert write_log(str(tmp_path), [b"more"]) == ["00000000000000000060.log"]
+    (tmp_path / "empty").mkdir()
+    assert recover(str(tmp_path / "empty")) is None
+    (tmp_path / "00000000000000000061.log").write_text("this is a text, not a log segment")
+    with pytest.raises(LogError, match="not a segment file"):
+        write_log(str(tmp_path), [b"x"])
+    assert (tmp_path / "00000000000000000061.log").read_text().startswith("this is a text")
+
+
 def test_empty_log(spark, tmp_path):
     assert load(spark, tmp_path).count() == 0
 

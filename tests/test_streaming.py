@@ -106,6 +106,37 @@ def test_segmented_log_from_end_to_end(spark, tmp_path):
     assert values(other.rows()) == values(consumer.rows())
 
 
+def test_tailing_goes_on_with_what_arrives(spark, tmp_path):
+    rows = usage(spark, [{} for _ in range(30)])
+    payloads = [r[0].encode() for r in rows.orderBy("log_offset").select(encode_event()).collect()]
+    log = str(tmp_path / "log")
+    (last,) = write_log(log, payloads[:20])
+    consumer = Consumer(spark, str(tmp_path / "out"), "a")
+    query = consumer.tail_segments(log, every="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        assert consumer.next_offset() == 20
+        with open(f"{log}/{last}", "ab") as f:
+            f.write(b"torn")
+        write_log(log, payloads[20:])
+        query.processAllAvailable()
+        assert consumer.next_offset() == consumer.rows().count() == 30
+        assert query.isActive
+    finally:
+        query.stop()
+    assert consumer.drain_segments(log) == Stats()
+    files = Consumer(spark, str(tmp_path / "out"), "b")
+    rows.where("log_offset < 20").coalesce(1).write.parquet(f"{tmp_path}/files/f0")
+    query = files.tail(f"{tmp_path}/files/*", USAGE_EVENTS, every="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        rows.where("log_offset >= 20").coalesce(1).write.parquet(f"{tmp_path}/files/f1")
+        query.processAllAvailable()
+        assert files.next_offset() == files.rows().count() == 30
+    finally:
+        query.stop()
+
+
 def test_bodies_from_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text('{"tenant_id":"a"}\n{oops\n')
     assert [r[0] for r in read_bodies(spark, str(tmp_path)).collect()] == ['{"tenant_id":"a"}', "{oops"]
