@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +28,33 @@ def test_best_fit_against_a_plain_search(sizes, capacity):
     assert sorted(capacity - v for v in bins.values()) == sorted(rooms)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([(100, 900), (300, 700), (400, 520), (20, 600)]))
+def test_the_cap_on_what_a_group_hands_on_costs_no_container(seed, between):
+    r = random.Random(seed)
+    groups = [[(None, r.randint(*between)) for _ in range(r.randrange(50, 150))] for _ in range(16)]
+
+    def containers(carry):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(packing, "CARRY", carry)
+            rows = []
+            for g, docs in enumerate(groups):
+                part = packing._Partition(1, 1000, g)
+                rows += [*part.pack(docs), *part.rest()]
+            final = set()
+            for level in (1, 2):
+                final |= {x[2] for x in rows if x[3]}
+                rows = [(*x[:4], x[4] // packing.FAN_IN, *x[5:]) for x in rows if not x[3]]
+                merged = []
+                for g in sorted({x[4] for x in rows}):
+                    own = packing._merge(level)(pa.Table.from_batches([packing._table([x for x in rows if x[4] == g])]))
+                    merged += list(zip(*(c.to_pylist() for c in own.columns), strict=True))
+                rows = merged
+            return len(final | {x[2] for x in rows})
+
+    assert containers(16) == containers(10**9)
+
+
 def check(rows, docs, targets):
     load, pieces = defaultdict(int), defaultdict(list)
     for t, c, name, doc, piece, start, tokens in rows:
