@@ -74,6 +74,8 @@ _BEFORE_ORDINAL = frozenset("der die das dem den des am im vom zum zur beim ab b
 _AFTER_CO = frozenset({"KG", "KGaA", "OHG", "Ltd", "Inc", "LLC"})
 # Particles that close a polite Thai sentence.
 _THAI_FINAL = ("ครับ", "ค่ะ", "คะ", "ครับผม", "นะคะ", "นะครับ", "จ้ะ", "จ้า", "ฮะ")
+# Connectives that open a Thai sentence after a space, as reports and news have them.
+_THAI_FIRST = re.compile(r"\s+(?:อย่างไรก็ตาม|อย่างไรก็ดี|นอกจากนี้|นอกจากนั้น|ดังนั้น|เพราะฉะนั้น|ด้วยเหตุนี้|ทั้งนี้|ต่อมา|จากนั้น|หลังจากนั้น|ขณะเดียวกัน|ในขณะเดียวกัน|ในทางกลับกัน)")
 
 _PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "‹": "›", "‚": "‘"}
 _BRACKETS = {"(": ")", "（": "）", "[": "]", "【": "】", "〔": "〕"}
@@ -274,7 +276,7 @@ class Splitter:
         start = 0
         marks = [(m.start(), m.end()) for m in _MARKS.finditer(text)]
         if any(_script(c) == "thai" for c in text):
-            marks = sorted(marks + [(m.start(), m.start()) for m in re.finditer(r"(?<=[฀-๿])\s", text)])
+            marks = sorted(marks + [(m.start(), m.start()) for m in re.finditer(r"(?<=[฀-๿])\s", text)] + [(m.start(), m.start()) for m in _THAI_FIRST.finditer(text)])
         for m0, m1 in marks:
             if m0 < start:
                 continue
@@ -287,7 +289,7 @@ class Splitter:
     def _end(self, text: str, spans: list[tuple[int, int, bool]], start: int, m0: int, m1: int) -> int | None:
         """Where the sentence that begins at ``start`` ends if it ends with the mark text[m0:m1], else None."""
         if m0 == m1:  # a space in Thai
-            return m1 if text[start:m1].endswith(_THAI_FINAL) and not self._within(spans, m1, start) else None
+            return m1 if (text[start:m1].endswith(_THAI_FINAL) or _THAI_FIRST.match(text, m1)) and not self._within(spans, m1, start) else None
         end, closed = m1, None
         while True:  # closing quotes and brackets belong to the sentence, also after a space, as in French
             k = end

@@ -22,6 +22,7 @@ PARAGRAPHS = [
     ["बहुत धन्यवाद!", "श्री G. तास के अनुसार सब ठीक है।", "(बाकी संलग्न है।)", "क्या आप देख सकते हैं?"],
     ["ขอบคุณมากค่ะ", "ไฟล์ a.v2.csv อยู่ที่นี่แล้วครับ", "เมื่อคืนนี้ เคมตูทิล เห็นมิเตอร์ใหม่ค่ะ"],
 ]
+THAI_REPORT = ["รายงานระบุว่า มิเตอร์หยุดนับตั้งแต่วันจันทร์", "อย่างไรก็ตาม ร่างใบแจ้งหนี้มียอด 51.5", "นอกจากนี้ ไฟล์ \"เก่า นอกจากนี้ ใหม่\" อยู่ที่ a.v2.csv", "ดังนั้นสำเนายังว่างเปล่า"]
 UNSPACED = [
     ["真奇怪！", "莫沙托问：“旧的键在哪里？”", "这是第66号；账单晚到了吗？！", "嗯……也许共享视图晚到了。", "“别动。没人会问！”索洛纳说。", "（其余内容见附件。）", "我们测得8.8GB。"],
     ["本当ですか！？", "「待って。誰も聞かないよ。」とケムさんが言いました。", "うーん…たぶん止まりました。", "（残りは添付をご覧ください。）", "ありがとう。"],
@@ -37,6 +38,12 @@ def test_scripts(want, gap):
         assert [wrapped[a:b].split() for a, b in sentences(wrapped)] == [w.split() for w in want]
 
 
+@pytest.mark.parametrize("gap", [" ", "\r\n"])
+def test_thai_connectives_open_sentences(gap):
+    text = "\n" + gap.join(THAI_REPORT) + "\n"
+    assert [text[a:b] for a, b in sentences(text)] == THAI_REPORT
+
+
 MESSAGE = """Content-Type: text/plain
 
 Dear all,
