@@ -60,7 +60,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p7_found, p7_longest_matches, p7_clean_documents, p8_found)}
+def p8_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points the documents themselves, the corpus and mere form have decided."""
+    return sentences.decisions(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p7_found, p7_longest_matches, p7_clean_documents, p8_found, p8_decisions)}
 
 ORACLE = {
     "p3_found": """with r as (select request_id, tenant_id, idempotency_key, row_number() over (partition by tenant_id, idempotency_key order by request_id) as copy from ingest_requests where idempotency_key <> ''),

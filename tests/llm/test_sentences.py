@@ -1,7 +1,28 @@
+from collections import Counter
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 
 from tallymill.llm import sentences as module
-from tallymill.llm.sentences import corpus_abbreviations, own_prose, sentences, split_sentences, ungarbled
+from tallymill.llm.sentences import Corpus, corpus_of, decisions, own_prose, scan, scanned, sentences, split_sentences, ungarbled
+
+
+def counts_of(texts):
+    total = Counter()
+    for text in texts:
+        scan(text, total)
+    return total
+
+
+@pytest.fixture(scope="session")
+def learned():
+    """The model of an archive of ten thousand messages."""
+    archive = Path("/root/testdata/sf0.1/documents.parquet")
+    if not archive.exists():
+        pytest.skip("no test tables here")
+    return corpus_of(counts_of(t for t in pq.read_table(archive, columns=["text"])["text"].to_pylist() if t))
+
 
 # sentences of a paragraph, joined by a space (or nothing, in scripts without)
 PARAGRAPHS = [
@@ -30,12 +51,12 @@ UNSPACED = [
 
 
 @pytest.mark.parametrize(("want", "gap"), [*[(p, " ") for p in PARAGRAPHS], *[(p, "") for p in UNSPACED]])
-def test_scripts(want, gap):
+def test_scripts(want, gap, learned):
     text = "Subject: x\n\n" + gap.join(want) + "\n"
-    assert [text[a:b] for a, b in sentences(text)] == want
+    assert [text[a:b] for a, b in sentences(text, learned)] == want
     if gap:  # a line end alone ends nothing
         wrapped = text.replace(" ", "\r\n")
-        assert [wrapped[a:b].split() for a, b in sentences(wrapped)] == [w.split() for w in want]
+        assert [wrapped[a:b].split() for a, b in sentences(wrapped, learned)] == [w.split() for w in want]
 
 
 @pytest.mark.parametrize("gap", [" ", "\r\n"])
@@ -89,46 +110,68 @@ def test_the_document_settles_unknown_abbreviations():
     assert len(sentences(open_)) == 2
     known = open_ + "\nThen Vorst. and others came, as Kempa said.\n"
     assert [known[a:b] for a, b in sentences(known)] == ["We met Vorst. Kempa again.", "Then Vorst. and others came, as Kempa said."]
-    assert len(sentences(open_ + "\nHere is Kempa.\n", frozenset({"vorst"}))) == 2
+    for counts, pieces in (((0, 0, 40, 0, 9), 2), ((0, 0, 40, 0, 1), 3), ((0, 0, 40, 12, 9), 3), ((2, 0, 3, 0, 2), 3)):
+        corpus = Corpus({"vorst": counts}, frozenset(), (20, 30, 900, 300))  # never at a paragraph's end; so, but always before one word; at its ends; too rare
+        assert len(sentences(open_ + "\nHere is Kempa.\n", corpus)) == pieces
+    assert len(sentences("\nWe met Vorst. Then we left.\n", Corpus({"vorst": (0, 0, 40, 0, 9)}, frozenset({"then"}), (20, 30, 900, 300)))) == 2
 
 
-def test_garbled_letters_keep_their_places():
+def test_garbled_letters_keep_their_places(learned):
     text = "„Läuft wieder“ … é"
     bad = "".join(c if c == " " else c.encode().decode("cp1252", "replace") for c in text)
     assert len(ungarbled(bad)) == len(bad)
     assert ungarbled("Ã¼ber plain é")[0] == "ü"
     text = "\nEl nÃºm. 57 estÃ¡ mal. La empresa X S. L. pidiÃ³ algo.\n"
-    assert [text[a:b] for a, b in sentences(text)] == ["El nÃºm. 57 estÃ¡ mal.", "La empresa X S. L. pidiÃ³ algo."]
+    assert [text[a:b] for a, b in sentences(text, learned)] == ["El nÃºm. 57 estÃ¡ mal.", "La empresa X S. L. pidiÃ³ algo."]
 
 
-def test_paragraph_without_capitals():
+def test_paragraph_without_capitals(learned):
     text = "\nthe guild of hov taxed weavers for each loom. every 24 years the river floods, etc. and more.\n"
-    assert len(sentences(text)) == 2
+    assert len(sentences(text, learned)) == 2
+
+
+def test_ordinary_words_end_sentences_before_lower_case_too(learned):
+    text = "\nThe rows came late. every year the river floods the delta. and so on?! according to him, approx. 5 of vars. and vars. ago.\n"
+    assert [text[a:b].split()[0] for a, b in sentences(text, learned)] == ["The", "every", "and", "according"]
+
+
+def invented(n):
+    """An archive in which Zr. is a title, urt. ends lists, and the word before kl. 7. is always the same; no word of it is in any list."""
+    names = ["Abo", "Bek", "Cul", "Dem", "Eno", "Fir", "Gol", "Hap"]
+    texts = []
+    for k in range(n):
+        a, b = names[k % 8], names[k * 3 % 7]
+        told = [f"They saw Zr. {a} and the rows.", "The rows hold keys, urt.", f"We asked {b} about keys.", f"It is kl. {k % 9}. Lauf of {a}.", "Some rows, urt. and keys are here."]
+        order = [told[(k + i * 2) % 5] for i in range(4)]
+        texts.append("\n" + " ".join(order) + "\n\nGreetings\n")
+    return texts
 
 
-def test_ordinary_words_end_sentences_before_lower_case_too():
-    text = "\nThe rows came late. every year the river floods the delta. and so on?! according to him, approx. five of vars. and vars. ago.\n"
-    assert [text[a:b].split()[0] for a, b in sentences(text)] == ["The", "every", "and", "according"]
+def test_the_corpus_tells_titles_from_abbreviations_that_end_sentences():
+    corpus = corpus_of(counts_of(invented(300)))
+    text = "\nHere Zr. Tem came. Lists, urt. Then kl. 4. Lauf went on, urt. and more.\n"
+    assert [text[a:b] for a, b in sentences(text, corpus)] == ["Here Zr. Tem came.", "Lists, urt.", "Then kl. 4. Lauf went on, urt. and more."]
+    assert [text[a:b] for a, b in sentences(text)] == ["Here Zr.", "Tem came.", "Lists, urt.", "Then kl.", "4.", "Lauf went on, urt. and more."]
 
 
-def test_corpus_statistics_and_tables(spark):
-    rows = [(k, f"\nItem {k} is in vrz. see there. Nobody knows.\n") for k in range(20)] + [(None, "\nOne. Two."), (100, None), (101, ""), (102, "\n" + "Word. " * 5000), (5, "\nSame. "), (5, "\nSame. ")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumnRenamed("x", "y").selectExpr("*", "1 as sent_start", "2 as word")
-    assert "vrz" in corpus_abbreviations(docs)
+def test_tables_and_decisions(spark):
+    rows = [*enumerate(invented(100)), (None, "\nOne. Two."), (100, None), (101, ""), (102, "\n" + "Word. " * 5000), (5, "\nSame. "), (5, "\nSame. "), (103, "\na\0b. C\0. D.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as sent_start", "2 as word", "3 as n")
     got = split_sentences(docs).collect()
-    per = {}
-    for r in got:
-        per[r["doc_id"]] = per.get(r["doc_id"], 0) + 1
-    assert per == {**{k: 2 for k in range(20)}, None: 2, 102: 5000, 5: 4}
-    assert split_sentences(docs.limit(0)).count() == 0
-
-
-def test_corpus_counts_bare_uses_in_every_partition(spark, monkeypatch):
-    monkeypatch.setattr(module, "spread", lambda df: df)
-    rows = [(0, "\nThe hist. data and the vrz. rows came. " * 60), (1, "\nSome hist rows came. " * 1000)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(2, "doc_id")
-    assert docs.rdd.glom().map(len).collect() == [1, 1]
-    assert corpus_abbreviations(docs) == corpus_abbreviations(docs.coalesce(1)) == {"vrz"}
+    corpus = scanned(docs)[1]
+    assert sorted(map(tuple, got), key=repr) == sorted(((doc, a, b) for doc, t in rows if t for a, b in sentences(t, corpus)), key=repr)
+    assert sum(r["doc_id"] == 102 for r in got) == 5000 and sum(r["doc_id"] is None for r in got) == 2
+    decided = {(r["decided_by"], r["ends"]): r["points"] for r in decisions(docs).collect()}
+    assert decided["document", True] > 100 and decided["corpus", False] > 100
+    assert split_sentences(docs.limit(0)).count() == 0 and decisions(docs.limit(0)).count() == 0
+
+
+def test_the_corpus_does_not_depend_on_partitions(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(invented(200))), "doc_id bigint, text string").repartitionByRange(4, "doc_id")
+    one, many = scanned(docs.coalesce(1))[1], scanned(docs)[1]
+    assert one == many == corpus_of(counts_of(invented(200)))
+    monkeypatch.setattr(module, "HELD", 3)
+    assert scanned(docs)[1] == one
 
 
 def test_spans_are_in_code_points():
