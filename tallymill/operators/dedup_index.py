@@ -1,10 +1,15 @@
 """Exactly one copy of every message that was delivered at least once.
 
 An identifier index in the shared folder holds all identifiers seen so far as immutable *runs*. A run has one row per
-hash prefix: the prefix's 128-bit identifiers as sorted arrays, beside the row id of the copy that was kept. Each
-incoming batch is reduced to one candidate per identifier, shuffled by prefix to the runs' arrays, and binary-searched in
-them; what no run holds is novel and becomes the next run. When ``fan_in`` runs have gathered they are merged into one,
-so a batch never searches more than a few arrays.
+hash prefix: the prefix's 128-bit identifiers as sorted arrays, beside the row id of the copy that was kept. Runs are
+bucketed by prefix, so they are searched where they lie: each incoming batch is reduced to one candidate per identifier and
+shuffled by prefix to the runs' buckets, of which only those it touches are read; what no run holds is novel and becomes the
+next run. When ``fan_in`` runs of one level stand last they are merged into one of the next, so an identifier is written
+once a level and a batch searches at most ``fan_in - 1`` arrays a level.
+
+How identifiers are laid out (bits of the prefix, buckets) is stored with them: an index that is opened again keeps its
+layout, and other bits are refused. An index whose prefixes have grown past four times ``PER_PREFIX`` is laid out anew with
+more bits; readers see the old runs or the new ones, never both.
 
 Batches must come in order of arrival (``batches_by_arrival`` cuts a table so); then the copy that is kept is that with
 the earliest ``received_at``, and among equals the smallest row id, over all batches.
@@ -16,6 +21,7 @@ empty result. Other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -26,17 +32,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.keys import delivery_order, has_key, id_hi, id_lo, offset_in
-from tallymill.session import SharedFiles, scratch
-
-#: Identifiers that one prefix should hold at most, on average: 64 Ki of them are 1.5 MB of arrays.
-PER_PREFIX = 65_536
+from tallymill.session import SharedFiles, bucketed, scratch
+
+#: Identifiers that one prefix should hold at most, on average: 16 Ki of them are 384 KB of arrays.
+PER_PREFIX = 16_384
+#: Prefixes that share a bucket; buckets that an index has at least and at most.
+PER_BUCKET, FEWEST, MOST = 8, 8, 8192
+#: Prefixes up to which a batch names those it touches, so that no other bucket is read.
+NAMED = 4096
 RUN = "prefix int, hi array<bigint>, lo array<bigint>, row_id array<bigint>"
 _RUN_ARROW = pa.schema([("prefix", pa.int32()), ("hi", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("row_id", pa.list_(pa.int64()))])
 
 
 def prefix_bits(identifiers: int) -> int:
-    """Bits of the hash prefix at which about ``PER_PREFIX`` of so many identifiers share a prefix; 4 to 24."""
-    return min(24, max(4, math.ceil(math.log2(max(1, identifiers) / PER_PREFIX))))
+    """Bits of the hash prefix at which at most ``PER_PREFIX`` of so many identifiers share a prefix on average; 6 at least."""
+    return min(31, max(6, math.ceil(math.log2(max(1, identifiers) / PER_PREFIX))))
 
 
 def _sorted(hi: np.ndarray, lo: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,44 +104,110 @@ def _merged(runs: pa.Table) -> pa.Table:
 
 
 class IdentifierIndex:
-    """Immutable runs below one path of the shared folder, named by the span of batches they hold."""
+    """Immutable runs below one path of the shared folder, named by the span of batches they hold.
+
+    ``bits`` is for a new index; one that exists has its own, and another number is an error.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, bits: int, fan_in: int = 3):
-        self.spark, self.path, self.bits, self.fan_in = spark, path, bits, fan_in
+    def __init__(self, spark: SparkSession, path: str, bits: int | None = None, fan_in: int = 3):
+        self.spark, self.path, self.fan_in = spark, path, fan_in
         self._files = SharedFiles(spark, path)
+        if (layout := self._layout()) is None:
+            self._files.publish("layout-000000.json", json.dumps({"bits": prefix_bits(0) if bits is None else bits}))
+            layout = self._layout()
+        if bits not in (None, layout["bits"]):
+            raise ValueError(f"the index has {layout['bits']} bits, not {bits}")
+
+    def _layout(self) -> dict | None:
+        """The latest layout: its number and bits."""
+        names = [n for n in self._files.names() if re.fullmatch(r"layout-\d+\.json", n)]
+        return {"number": int(names[-1][7:13]), **json.loads(self._files.read(names[-1]))} if names else None
+
+    @property
+    def bits(self) -> int:
+        return self._layout()["bits"]
+
+    @property
+    def _buckets(self) -> int:
+        return min(MOST, max(FEWEST, (1 << self.bits) // PER_BUCKET))
 
     def runs(self) -> list[tuple[int, int]]:
         """Spans of the live runs. Only committed runs count, and a merged run stands for those within its span."""
-        spans = [tuple(map(int, m.groups())) for n in self._files.names() if (m := re.fullmatch(r"run-(\d+)-(\d+)", n)) and self._files.exists(f"{n}/_SUCCESS")]
+        folder = f"runs-{self._layout()['number']:06d}"
+        names = SharedFiles(self.spark, f"{self.path}/{folder}").names()
+        spans = [tuple(map(int, m.groups())) for n in names if (m := re.fullmatch(r"(\d+)-(\d+)", n)) and self._files.exists(f"{folder}/{n}/_SUCCESS")]
         return sorted(s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans))
 
-    def _at(self, span: tuple[int, int]) -> str:
-        return f"{self.path}/run-{span[0]:06d}-{span[1]:06d}"
+    def _name(self, span: tuple[int, int], number: int | None = None) -> str:
+        return f"runs-{self._layout()['number'] if number is None else number:06d}/{span[0]:06d}-{span[1]:06d}"
 
-    def read(self) -> DataFrame | None:
+    def _table(self, span: tuple[int, int]) -> DataFrame:
+        return self.spark.table(bucketed(self.spark, f"{self.path}/{self._name(span)}", RUN, "prefix", self._buckets))
+
+    def _write(self, rows: DataFrame, span: tuple[int, int]) -> None:
+        rows.write.insertInto(bucketed(self.spark, f"{self.path}/{self._name(span)}", RUN, "prefix", self._buckets), overwrite=True)
+
+    def read(self, spans: list[tuple[int, int]] | None = None) -> DataFrame | None:
         """The live runs, or None before the first batch."""
-        paths = [self._at(s) for s in self.runs()]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else None
+        out = None
+        for span in self.runs() if spans is None else spans:
+            out = self._table(span) if out is None else out.unionAll(self._table(span))
+        return out
+
+    def _prefixed(self, batch: DataFrame) -> DataFrame:
+        return batch.select(F.shiftrightunsigned("hi", 64 - self.bits).cast("int").alias("prefix"), "hi", "lo", "row_id")
+
+    def touched(self, keys: DataFrame) -> DataFrame | None:
+        """The rows of the live runs under the prefixes of ``keys`` (hi, lo, row_id); other buckets aren't read if the prefixes are few enough to be named."""
+        runs = self.read()
+        if runs is None:
+            return None
+        named = [r[0] for r in self._prefixed(keys).select("prefix").distinct().limit(NAMED + 1).collect()]
+        return runs.where(F.col("prefix").isin(named)) if len(named) <= NAMED else runs
 
     def ingest(self, batch: DataFrame) -> None:
         """Add a batch of (hi, lo, row_id), at most one row per identifier, if it isn't there from an earlier try."""
-        runs = self.runs()
-        batch = batch.select(F.shiftrightunsigned("hi", 64 - self.bits).cast("int").alias("prefix"), "hi", "lo", "row_id").groupBy("prefix")
-        novel = batch.cogroup(self.read().select("prefix", "hi", "lo").groupBy("prefix")).applyInArrow(_novel, RUN) if runs else batch.applyInArrow(_first_run, RUN)
+        runs, known = self.runs(), self.touched(batch)
+        by_prefix = self._prefixed(batch).groupBy("prefix")
+        novel = by_prefix.applyInArrow(_first_run, RUN) if known is None else by_prefix.cogroup(known.select("prefix", "hi", "lo").groupBy("prefix")).applyInArrow(_novel, RUN)
         number = runs[-1][1] + 1 if runs else 0
-        novel.write.mode("overwrite").parquet(self._at((number, number)))
-        if len(runs) + 1 >= self.fan_in:
-            self.merge()
-
-    def merge(self) -> None:
-        """Merge the live runs into one. The old ones go only when the new one is committed."""
-        runs = self.runs()
+        self._write(novel, (number, number))
+        self._tidy()
+
+    def _level(self, span: tuple[int, int]) -> int:
+        level, size = 0, span[1] - span[0] + 1
+        while size >= self.fan_in:
+            level, size = level + 1, size // self.fan_in
+        return level
+
+    def _tidy(self) -> None:
+        """Merge while ``fan_in`` runs of one level stand last; lay out anew what has outgrown its prefixes."""
+        while len(last := self.runs()[-self.fan_in :]) == self.fan_in and len({self._level(s) for s in last}) == 1:
+            self.merge(last)
+            held = self.read().agg(F.sum(F.size("hi"))).first()[0] or 0
+            if held > 4 * PER_PREFIX << self.bits:
+                self.resplit(prefix_bits(held))
+
+    def merge(self, runs: list[tuple[int, int]] | None = None) -> None:
+        """Merge neighbouring runs, all if none are named, into one, bucket by bucket. The old ones go only when the new one is committed."""
+        runs = self.runs() if runs is None else runs
         if len(runs) < 2:
             return
-        whole = (runs[0][0], runs[-1][1])
-        self.read().groupBy("prefix").applyInArrow(_merged, RUN).write.mode("overwrite").parquet(self._at(whole))
+        self._write(self.read(runs).groupBy("prefix").applyInArrow(_merged, RUN), (runs[0][0], runs[-1][1]))
         for span in runs:
-            self._files.delete(self._at(span).rpartition("/")[2])
+            self._files.delete(self._name(span))
+
+    def resplit(self, bits: int) -> None:
+        """Lay all runs out under prefixes of ``bits`` bits. The new layout counts once its run is whole; then the old one goes."""
+        runs, old, number = self.runs(), self.read(), self._layout()["number"]
+        new = IdentifierIndex.__new__(IdentifierIndex)
+        new.spark, new.path, new.fan_in, new._files = self.spark, self.path, self.fan_in, self._files
+        new._layout = lambda: {"number": number + 1, "bits": bits}
+        if old is not None:
+            rows = old.select(F.explode(F.arrays_zip("hi", "lo", "row_id")).alias("x")).select("x.*")
+            new._write(new._prefixed(rows).groupBy("prefix").applyInArrow(_first_run, RUN), (runs[0][0], runs[-1][1]))
+        self._files.publish(f"layout-{number + 1:06d}.json", json.dumps({"bits": bits}))
+        self._files.delete(f"runs-{number:06d}")
 
     def kept(self) -> DataFrame:
         """(row_id) of every copy that was kept."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -79,6 +80,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, path: str, schema: str, column: str, buckets: int) -> str:
+    """The name under which this session knows the table at ``path``, bucketed by ``column``.
+
+    Rows of one bucket are in files of their own, so grouping or joining by ``column`` takes them as they lie. The catalog only refers to the path;
+    what counts is what lies there, for this session and any other.
+    """
+    name = f"tallymill_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    spark.sql(f"create table if not exists {name} ({schema}) using parquet clustered by ({column}) into {buckets} buckets location '{path}'")
+    return name
+
+
 #: Bytes a core that make up a partition of their own in any scan.
 _OWN_PARTITION = 4 * 1024 * 1024
 

@@ -2,10 +2,12 @@ import random
 from datetime import timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallymill.functions.keys import has_key
-from tallymill.operators.dedup_index import IdentifierIndex, batches_by_arrival, candidates, contains, exactly_once, first_deliveries, index_of, prefix_bits, redeliveries
+from tallymill.operators import dedup_index as module
+from tallymill.operators.dedup_index import RUN, IdentifierIndex, _novel, batches_by_arrival, candidates, contains, exactly_once, first_deliveries, index_of, prefix_bits, redeliveries
 from tallymill.session import scratch
 from tests.helpers import NOON, ids, usage, values
 
@@ -67,9 +69,11 @@ def test_equal_times_and_repeated_rows(spark):
 def test_runs_merge_and_a_retry_changes_nothing(spark):
     rows = [{"idempotency_key": f"k{i % 40}", "received_at": NOON + timedelta(seconds=i)} for i in range(120)]
     index = IdentifierIndex(spark, scratch(spark, "index"), 4, fan_in=2)
+    seen = []
     for batch in batches_by_arrival(usage(spark, rows), 4):
         index.ingest(candidates(batch))
-    assert len(index.runs()) == 1 and index.runs()[0] == (0, 3)
+        seen.append(index.runs())
+    assert seen == [[(0, 0)], [(0, 1)], [(0, 1), (2, 2)], [(0, 3)]]  # by levels: what is merged once is merged again only with its like
     before = ids(index.kept())
     index.ingest(candidates(usage(spark, rows)))
     assert ids(index.kept()) == before == list(range(40))
@@ -77,9 +81,9 @@ def test_runs_merge_and_a_retry_changes_nothing(spark):
 
 def test_a_superseded_or_unfinished_run_is_not_read(spark):
     index = index_of(usage(spark, [{"idempotency_key": f"k{i}"} for i in range(10)]), 1)
-    stray = f"{index.path}/run-000001-000001"
-    index.read().write.parquet(stray)
-    index._files.delete("run-000001-000001/_SUCCESS")
+    index.read().write.parquet(f"{index.path}/{index._name((1, 1))}")
+    assert index.runs() == [(0, 0), (1, 1)]
+    index._files.delete(f"{index._name((1, 1))}/_SUCCESS")
     assert index.runs() == [(0, 0)]
 
 
@@ -89,4 +93,46 @@ def test_binary_search_goes_on_among_equal_first_halves():
 
 
 def test_prefix_follows_the_number_of_identifiers():
-    assert prefix_bits(0) == 4 and prefix_bits(10**9) == 14 and prefix_bits(10**15) == 24
+    assert prefix_bits(0) == 6 and prefix_bits(10**9) == 16 and prefix_bits(10**12) == 26
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_index_is_searched_where_it_lies(spark):
+    rows = [{"idempotency_key": f"k{i}"} for i in range(400)]
+    index = index_of(usage(spark, rows), 1)
+    index.ingest(candidates(usage(spark, [{"idempotency_key": f"n{i}", "log_offset": 1000 + i} for i in range(50)])))
+    assert len(index.runs()) == 2
+    batch = index._prefixed(candidates(usage(spark, rows[:1])))
+    known = index.touched(candidates(usage(spark, rows[:1])))
+    text = plan(batch.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInArrow(_novel, RUN))
+    runs = text[text.index("Union") :]
+    assert "Exchange" not in runs and runs.count("SelectedBucketsCount: 1 out of 8") == 2
+    assert known.select("prefix").distinct().count() == 1
+
+
+def test_another_layout_is_refused_or_migrated(spark):
+    rows = usage(spark, [{"idempotency_key": f"k{i}"} for i in range(300)])
+    index = index_of(rows, 1)
+    assert IdentifierIndex(spark, index.path).bits == index.bits == 6
+    with pytest.raises(ValueError, match="6 bits, not 7"):
+        IdentifierIndex(spark, index.path, 7)
+    before = ids(index.kept())
+    index.resplit(8)
+    again = IdentifierIndex(spark, index.path, 8)
+    assert ids(again.kept()) == before and again.runs() == [(0, 0)]
+    assert again.read().where(F.size("hi") > 0).agg(F.max("prefix")).first()[0] > 63
+    again.ingest(candidates(rows))
+    assert ids(again.kept()) == before
+
+
+def test_an_index_that_grows_gets_more_bits(spark, monkeypatch):
+    monkeypatch.setattr(module, "PER_PREFIX", 1)
+    index = IdentifierIndex(spark, scratch(spark, "index"), 2, fan_in=2)
+    for k in range(2):
+        index.ingest(candidates(usage(spark, [{"idempotency_key": f"k{k}-{i}", "log_offset": 100 * k + i} for i in range(40)])))
+    assert index.bits == 7 and len(ids(index.kept())) == 80
+    index.ingest(candidates(usage(spark, [{"idempotency_key": "k1-3", "log_offset": 500}, {"idempotency_key": "new", "log_offset": 501}])))
+    assert [k for k in ids(index.kept()) if k > 200] == [501]
