@@ -2,8 +2,11 @@
 
 The event-time window is a UTC day of ``occurred_at``. Rows are taken in order of arrival, so the watermark at a row is its
 ``received_at`` less the allowed lateness; a row behind it is diverted to the report of dropped rows. The state is keyed by
-(tenant_id, meter, day). Each arrival day that touches a key emits an upsert with the key's new totals, so the last version
-of a key is its corrected total, and every earlier version is what was known at the time.
+(tenant_id, meter, window). Each arrival day that touches a key emits an upsert with the key's new totals, so the last version
+of a key is its corrected total, and every earlier version is what was known at the time. An upsert whose arrival day begins
+when its window is already over corrects a total that had been given out; ``corrections`` finds the rows behind such upserts.
+
+Raw rows meet the upserts by key only in ``corrections``, where keys that hold many rows take the way of ``skew_join``.
 
 Nulls and bad rows: a null tenant is a tenant of its own; rows without key, meter, times or plain quantity go to the report
 with their reason. Second deliveries change no total and are not reported here. Empty input gives empty outputs. Extra
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from tallymill.functions.quantity import as_decimal
 from tallymill.operators.counted import verdict
 from tallymill.operators.dedup_index import first_deliveries
+from tallymill.operators.skew import skew_join
+from tallymill.session import written
 
 STATE_KEY = ["tenant_id", "meter", "usage_day"]
 
@@ -27,24 +32,25 @@ STATE_KEY = ["tenant_id", "meter", "usage_day"]
 @dataclass
 class LateWindows:
     routed: DataFrame
-    """Rows in time: log_offset, the state key, arrival_day, quantity, is_correction."""
+    """Rows in time: log_offset, the state key, arrival_day, quantity."""
     upserts: DataFrame
-    """State key, version, arrival_day, quantity, events, corrections: one row per key and arrival day."""
+    """State key, version, arrival_day, quantity, events, corrections, is_correction: one row per key and arrival day."""
     diverted: DataFrame
     """log_offset, reason: rows that changed no total, second deliveries aside."""
 
 
 def late_windows(events: DataFrame) -> LateWindows:
-    """Route every row and build the keyed state's upserts."""
+    """Route every row, build the keyed state's upserts, and find the rows behind those that correct."""
     judged = events.withColumn("reason", verdict())
+    window = F.window("occurred_at", "1 day")
     routed = (
         judged.where(F.col("reason").isNull())
         .join(first_deliveries(events), "log_offset", "left_semi")
-        .select("log_offset", "tenant_id", "meter", F.to_date("occurred_at").alias("usage_day"), F.to_date("received_at").alias("arrival_day"), as_decimal().alias("quantity"))
-        .withColumn("is_correction", F.col("arrival_day") > F.col("usage_day"))
+        .select("log_offset", "tenant_id", "meter", window.alias("w"), F.to_date("received_at").alias("arrival_day"), as_decimal().alias("quantity"))
+        .select("log_offset", "tenant_id", "meter", F.to_date("w.start").alias("usage_day"), F.to_date("w.end").alias("over_on"), "arrival_day", "quantity")
     )
     # partial aggregation leaves at most one row per key and arrival day and task, whatever the tenant's size
-    per_arrival = routed.groupBy(*STATE_KEY, "arrival_day").agg(F.sum("quantity").alias("q"), F.count(F.lit(1)).alias("n"), F.sum(F.col("is_correction").cast("bigint")).alias("c"))
+    per_arrival = routed.groupBy(*STATE_KEY, "arrival_day").agg(F.sum("quantity").alias("q"), F.count(F.lit(1)).alias("n"), (F.col("arrival_day") >= F.max("over_on")).alias("late"))
     state = Window.partitionBy(*STATE_KEY).orderBy("arrival_day")
     so_far = state.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upserts = per_arrival.select(
@@ -53,9 +59,18 @@ def late_windows(events: DataFrame) -> LateWindows:
         "arrival_day",
         F.sum("q").over(so_far).cast("decimal(38,9)").alias("quantity"),
         F.sum("n").over(so_far).alias("events"),
-        F.sum("c").over(so_far).alias("corrections"),
+        F.coalesce(F.sum(F.when(F.col("late"), F.col("n"))).over(so_far), F.lit(0)).alias("corrections"),
+        F.col("late").alias("is_correction"),
     )
-    return LateWindows(routed, upserts, judged.where(F.col("reason").isNotNull()).select("log_offset", "reason", "tenant_id", "meter", "occurred_at", "received_at"))
+    diverted = judged.where(F.col("reason").isNotNull()).select("log_offset", "reason", "tenant_id", "meter", "occurred_at", "received_at")
+    return LateWindows(routed.drop("over_on"), upserts, diverted)
+
+
+def corrections(windows: LateWindows) -> DataFrame:
+    """(log_offset): the rows whose arrival made the state correct a window already over."""
+    emitted = windows.upserts.where("is_correction").select(*STATE_KEY, "arrival_day")
+    rows = written(windows.routed.select("log_offset", *STATE_KEY, "arrival_day"), "routed")
+    return skew_join(rows, emitted, [*STATE_KEY, "arrival_day"], how="left_semi").select("log_offset")
 
 
 def latest(upserts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tallymill.functions.keys import has_key
 from tallymill.functions.quantity import as_decimal
 from tallymill.operators.counted import counted
 from tallymill.operators.dedup_index import exactly_once, redeliveries
-from tallymill.operators.late_windows import late_windows, latest
+from tallymill.operators.late_windows import corrections, late_windows, latest
 from tallymill.operators.rolling import rolling
 from tallymill.operators.skew import keys_with_share, skew_aggregate, skew_join
 from tallymill.sources.tables import table
@@ -42,12 +42,12 @@ def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted rows that correct a day already over when they arrived."""
-    return late_windows(_usage(spark, sf_dir)).routed.where("is_correction").select("log_offset")
+    return corrections(late_windows(_usage(spark, sf_dir)))
 
 
 def p2_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each version of each daily total, in the order in which they became known."""
-    return _plain(late_windows(_usage(spark, sf_dir)).upserts)
+    return _plain(late_windows(_usage(spark, sf_dir)).upserts.drop("is_correction"))
 
 
 def p2_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,10 +149,8 @@ def late_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tenant_period_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage per tenant, meter and calendar month; tenants of any size by split and salted aggregation."""
     rows = counted(_usage(spark, sf_dir)).select("tenant_id", "meter", F.date_format("occurred_at", "yyyy-MM").alias("period"), "quantity")
-    keyed = rows.withColumn("k", F.to_json(F.struct("tenant_id", "meter", "period")))
-    partial = {"t": F.first("tenant_id"), "m": F.first("meter"), "p": F.first("period"), "n": F.count(F.lit(1)), "q": F.sum("quantity")}
-    final = {"tenant_id": F.first("t"), "meter": F.first("m"), "period": F.first("p"), "events": F.sum("n"), "quantity": _text(F.sum("q"))}
-    return skew_aggregate(keyed, "k", partial, final).drop("k")
+    partial = {"n": F.count(F.lit(1)), "q": F.sum("quantity")}
+    return skew_aggregate(rows, ["tenant_id", "meter", "period"], partial, {"events": F.sum("n"), "quantity": _text(F.sum("q"))})
 
 
 def meter_usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

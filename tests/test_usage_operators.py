@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 from datetime import timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators.counted import counted, verdict
-from tallymill.operators.late_windows import late_windows, latest
+from tallymill.operators.late_windows import corrections, late_windows, latest
 from tallymill.operators.rolling import rolling
 from tallymill.operators.skew import heavy_keys, keys_with_share, skew_aggregate, skew_join
 from tests.helpers import NOON, usage, values
@@ -44,7 +45,7 @@ def test_late_rows_correct_their_day(spark):
     ]
     assert latest(got.upserts).first()["quantity"] == Decimal("7.5")
     assert values(got.diverted.select("log_offset", "reason")) == [(4, "too_late")]
-    assert values(got.routed.where("is_correction").select("log_offset")) == [(0,), (2,), (3,)]
+    assert values(corrections(got)) == [(0,), (2,), (3,)]
 
 
 def test_late_windows_of_nothing(spark):
@@ -125,3 +126,25 @@ def test_rolling_of_the_largest_quantity(spark):
 
 def test_rolling_of_nothing(spark):
     assert rolling(spark.createDataFrame([], "e string, d date, q decimal(38,9)"), ["e"], F.col("d"), F.col("q"), datetime.date(2026, 1, 1)).count() == 0
+
+
+def test_several_keys_are_one(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", None, "", "1"]), r.choice(["", "1", "a", None]) if r.random() > 0.4 else "hot", k) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, m string, v int")
+    want = sorted(((*key, n) for key, n in Counter((k, m) for k, m, _ in rows).items()), key=repr)
+    assert values(skew_aggregate(df, ["k", "m"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, share=0.1)) == want
+    some = spark.createDataFrame(want[::2], "k string, m string, n int").drop("n")
+    kept = {x[:2] for x in want[::2]}
+    assert values(skew_join(df, some, ["k", "m"], 0.1, how="left_semi")) == sorted((x for x in rows if x[:2] in kept), key=repr)
+
+
+def test_a_repeated_key_on_the_joined_side_is_an_error(spark):
+    facts = spark.createDataFrame([("a", 1)] * 9, "k string, v int")
+    with pytest.raises(Exception, match="more than one row per key"):
+        skew_join(facts, spark.createDataFrame([("a", 1), ("a", 2)], "k string, d int"), "k", 0.1).collect()
+
+
+def test_the_share_is_taken_over_both_branches(spark):
+    text = keys_with_share(spark.createDataFrame([(f"k{i % 7}",) for i in range(70)], "k string"), "k", 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in text
