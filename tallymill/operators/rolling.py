@@ -23,10 +23,15 @@ def daily(rows: DataFrame, entity: list[str], day: Column, amount: Column) -> Da
 
 
 def dense(totals: DataFrame, entity: list[str], last_day: datetime.date) -> DataFrame:
-    """Every day of every entity from its first to ``last_day``, total 0 where there was none; ``i`` counts them from 0."""
-    series = totals.where(F.col("day") <= F.lit(last_day)).groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct("day", "total"))).alias("m"), F.min("day").alias("first"))
-    days = series.select(*entity, "m", F.posexplode(F.sequence("first", F.lit(last_day))).alias("i", "day"))
-    return days.select(*entity, "day", "i", F.coalesce(F.try_element_at("m", F.col("day")), F.lit(0)).cast("decimal(38,9)").alias("total"))
+    """Every day of every entity from its first to ``last_day``, total 0 where there was none; ``i`` counts them from 0.
+
+    Each day with activity brings the idle days up to the next one, so rows stay narrow and nothing is gathered per entity.
+    """
+    series = Window.partitionBy(*entity).orderBy("day")
+    gaps = totals.where(F.col("day") <= F.lit(last_day)).withColumns({"__first": F.first("day").over(series), "__next": F.lead("day").over(series)})
+    upto = F.coalesce(F.date_sub("__next", 1), F.lit(last_day))
+    days = gaps.select(*entity, "total", "__first", F.posexplode(F.sequence("day", upto)).alias("__idle", "day"))
+    return days.select(*entity, "day", F.date_diff("day", "__first").alias("i"), F.when(F.col("__idle") == 0, F.col("total")).otherwise(F.lit(0)).cast("decimal(38,9)").alias("total"))
 
 
 def _plus(a: Column, b: Column) -> Column:
