@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.keys import delivery_order, has_key, id_hi, id_lo, offset_in
@@ -40,8 +40,8 @@ PER_PREFIX = 16_384
 PER_BUCKET, FEWEST, MOST = 8, 8, 8192
 #: Prefixes up to which a batch names those it touches, so that no other bucket is read.
 NAMED = 4096
-RUN = "prefix int, hi array<bigint>, lo array<bigint>, row_id array<bigint>"
-_RUN_ARROW = pa.schema([("prefix", pa.int32()), ("hi", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("row_id", pa.list_(pa.int64()))])
+RUN = "prefix int, n int, hi array<bigint>, lo array<bigint>, row_id array<bigint>"
+_RUN_ARROW = pa.schema([("prefix", pa.int32()), ("n", pa.int32()), ("hi", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("row_id", pa.list_(pa.int64()))])
 
 
 def prefix_bits(identifiers: int) -> int:
@@ -81,7 +81,7 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
 def _run_row(prefix: int, hi: np.ndarray, lo: np.ndarray, row: np.ndarray) -> pa.Table:
     if not len(hi):
         return _RUN_ARROW.empty_table()
-    return pa.Table.from_arrays([pa.array([prefix], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (hi, lo, row))], schema=_RUN_ARROW)
+    return pa.Table.from_arrays([pa.array([prefix], pa.int32()), pa.array([len(hi)], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (hi, lo, row))], schema=_RUN_ARROW)
 
 
 def _novel(batch: pa.Table, runs: pa.Table) -> pa.Table:
@@ -155,19 +155,22 @@ class IdentifierIndex:
         return out
 
     def _prefixed(self, batch: DataFrame) -> DataFrame:
-        return batch.select(F.shiftrightunsigned("hi", 64 - self.bits).cast("int").alias("prefix"), "hi", "lo", "row_id")
+        return batch.select(self._prefix(), "hi", "lo", "row_id")
+
+    def _prefix(self) -> Column:
+        return F.shiftrightunsigned("hi", 64 - self.bits).cast("int").alias("prefix")
 
     def touched(self, keys: DataFrame) -> DataFrame | None:
-        """The rows of the live runs under the prefixes of ``keys`` (hi, lo, row_id); other buckets aren't read if the prefixes are few enough to be named."""
+        """The rows of the live runs under the prefixes of ``keys`` (hi); other buckets aren't read if the prefixes are few enough to be named."""
         runs = self.read()
         if runs is None:
             return None
-        named = [r[0] for r in self._prefixed(keys).select("prefix").distinct().limit(NAMED + 1).collect()]
+        named = [r[0] for r in keys.select(self._prefix()).distinct().limit(NAMED + 1).collect()]
         return runs.where(F.col("prefix").isin(named)) if len(named) <= NAMED else runs
 
-    def ingest(self, batch: DataFrame) -> None:
-        """Add a batch of (hi, lo, row_id), at most one row per identifier, if it isn't there from an earlier try."""
-        runs, known = self.runs(), self.touched(batch)
+    def ingest(self, batch: DataFrame, keys: DataFrame | None = None) -> None:
+        """Add a batch of (hi, lo, row_id), at most one row per identifier, if it isn't there from an earlier try. ``keys`` (hi) may tell more cheaply which prefixes it touches."""
+        runs, known = self.runs(), self.touched(batch if keys is None else keys)
         by_prefix = self._prefixed(batch).groupBy("prefix")
         novel = by_prefix.applyInArrow(_first_run, RUN) if known is None else by_prefix.cogroup(known.select("prefix", "hi", "lo").groupBy("prefix")).applyInArrow(_novel, RUN)
         number = runs[-1][1] + 1 if runs else 0
@@ -184,7 +187,7 @@ class IdentifierIndex:
         """Merge while ``fan_in`` runs of one level stand last; lay out anew what has outgrown its prefixes."""
         while len(last := self.runs()[-self.fan_in :]) == self.fan_in and len({self._level(s) for s in last}) == 1:
             self.merge(last)
-            held = self.read().agg(F.sum(F.size("hi"))).first()[0] or 0
+            held = self.read().agg(F.sum("n")).first()[0] or 0
             if held > 4 * PER_PREFIX << self.bits:
                 self.resplit(prefix_bits(held))
 
@@ -244,7 +247,7 @@ def index_of(events: DataFrame, batches: int = 3, path: str | None = None) -> Id
     spark = events.sparkSession
     index = IdentifierIndex(spark, path or scratch(spark, "identifiers"), prefix_bits(events.count()))
     for batch in batches_by_arrival(events, batches):
-        index.ingest(candidates(batch))
+        index.ingest(candidates(batch), batch.where(has_key()).select(id_hi("tenant_id", "idempotency_key").alias("hi")))
     return index
 
 
