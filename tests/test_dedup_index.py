@@ -74,6 +74,7 @@ def test_runs_merge_and_a_retry_changes_nothing(spark):
         index.ingest(candidates(batch))
         seen.append(index.runs())
     assert seen == [[(0, 0)], [(0, 1)], [(0, 1), (2, 2)], [(0, 3)]]  # by levels: what is merged once is merged again only with its like
+    assert index.read().count() == index.read().select("prefix").distinct().count()  # one array a prefix
     before = ids(index.kept())
     index.ingest(candidates(usage(spark, rows)))
     assert ids(index.kept()) == before == list(range(40))
