@@ -3,9 +3,13 @@
 Hierarchical residual packing. Each task tokenises its own partition and packs it best-fit, largest first; nothing is
 shuffled for that, and only ids and counts remain of the texts. Containers filled to ``FULL`` of the capacity are final.
 The others become items themselves, as heavy as their content, and meet in a tree: each round brings ``FAN_IN`` groups
-together and packs their underfull containers best-fit once more, until one group is left. A group hands on at most
-``CARRY`` containers, the emptiest; what is beyond is final as it is. So no task ever sees more than ``FAN_IN * CARRY``
-containers per capacity, whatever the corpus.
+together and packs all their underfull containers best-fit once more, until one group is left.
+
+The rounds work on counts. Containers of a group that are equally heavy are alike, so a group is told by how many it has of
+each weight, at most as many numbers as the capacity has tokens; best fit is run on these counts and says which of them,
+by their number within a weight, go together (``best_fit_counts``). So every underfull container takes part in every round,
+however many there are, and no task holds more than ``FAN_IN`` times the capacity in numbers. Documents aren't moved: at the
+end their rows look up, round by round, where their container went.
 
 A text longer than the capacity fills containers of its own, and its remainder is an item; no other text is split. A text
 without tokens takes one token's room, so that a container's list of documents stays bounded. Null texts count as empty.
@@ -17,17 +21,17 @@ from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.session import spread, written
+from tallymill.session import written
 
 #: A public vocabulary file; any ``.tiktoken`` file of base64 token and rank will do.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -37,12 +41,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Share of the capacity from which a container is final.
 FULL = 0.98
 FAN_IN = 8
-CARRY = 4096
 #: Documents that are packed at a time within a partition.
 CHUNK = 8192
 
-PLACED = "target_id int, capacity int, container string, done boolean, grp int, doc_id bigint, piece int, token_start bigint, tokens int"
-_ARROW = pa.schema([("target_id", pa.int32()), ("capacity", pa.int32()), ("container", pa.string()), ("done", pa.bool_()), ("grp", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("token_start", pa.int64()), ("tokens", pa.int32())])
+PLACED = "target_id int, capacity int, container string, done boolean, grp int, weight int, nth bigint, doc_id bigint, piece int, token_start bigint, tokens int"
+#: Where a round puts containers: those of ``grp`` with this weight numbered [low, high) go, ``per`` at a time, into bins from ``bin`` on, which then weigh ``bin_weight`` and are numbered from ``bin_nth`` on.
+MOVES = "target_id int, capacity int, grp int, weight int, low bigint, high bigint, per bigint, parent int, bin bigint, bin_weight int, bin_nth bigint, done boolean"
+_ARROW = pa.schema([("target_id", pa.int32()), ("capacity", pa.int32()), ("container", pa.string()), ("done", pa.bool_()), ("grp", pa.int32()), ("weight", pa.int32()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("token_start", pa.int64()), ("tokens", pa.int32())])
 
 
 @lru_cache(maxsize=2)
@@ -87,6 +92,60 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return place
 
 
+@dataclass
+class Placed:
+    """Items of one child and weight, numbered [low, high), that go ``per`` at a time into the bins from ``bin`` on."""
+
+    child: int
+    weight: int
+    low: int
+    high: int
+    bin: int
+    per: int
+
+
+def best_fit_counts(items: list[tuple[int, int, int]], capacity: int) -> tuple[list[Placed], list[tuple[int, int, int]]]:
+    """What ``best_fit`` does, run on counts: ``items`` are (child, weight, number of such).
+
+    Returns where they go and the bins as (first bin, number of bins, weight), in order and without gaps.
+    """
+    placed: list[Placed] = []
+    waiting: dict[int, list[tuple[int, int]]] = {}  # runs of equal bins by room left
+    rooms: list[int] = []
+    bins = 0
+
+    def keep(first: int, n: int, room: int) -> None:
+        if n:
+            if room not in waiting:
+                waiting[room] = []
+                insort(rooms, room)
+            waiting[room].append((first, n))
+
+    for child, weight, n in sorted(items, key=lambda x: (-x[1], x[0])):
+        low = 0
+        while low < n:
+            k = bisect_left(rooms, weight)
+            if k == len(rooms):
+                room, per = capacity, capacity // weight
+                first, there = bins, -(-(n - low) // per)
+                bins += there
+            else:
+                room = rooms[k]
+                per = room // weight
+                first, there = waiting[room].pop()
+                if not waiting[room]:
+                    del waiting[room], rooms[k]
+            used = min(there, -(-(n - low) // per))
+            taken = min(n - low, used * per)
+            placed.append(Placed(child, weight, low, low + taken, first, per))
+            keep(first + used, there - used, room)
+            whole, part = divmod(taken, per)
+            keep(first, whole, room - per * weight)
+            keep(first + whole, 1 if part else 0, room - part * weight)
+            low += taken
+    return placed, sorted((first, n, capacity - room) for room, runs in waiting.items() for first, n in runs)
+
+
 class _Partition:
     """What one task holds for one capacity: items of the containers that are still open, and rows to emit."""
 
@@ -119,15 +178,17 @@ class _Partition:
                 self.open.append((load, rows[b]))
 
     def rest(self) -> Iterator[tuple]:
-        """The rows of containers still open: the emptiest are handed on."""
-        for k, (_, members) in enumerate(sorted(self.open, key=lambda x: x[0])):
-            yield from self._rows(k >= CARRY, members)
+        """The rows of containers still open, numbered within their weight."""
+        numbered: dict[int, int] = {}
+        for load, members in self.open:
+            numbered[load] = nth = numbered.get(load, -1) + 1
+            yield from self._rows(False, members, load, nth)
 
-    def _rows(self, done: bool, members: list) -> Iterator[tuple]:
+    def _rows(self, done: bool, members: list, load: int | None = None, nth: int | None = None) -> Iterator[tuple]:
         name = f"{self.target}-0-{self.group}-{self.serial}"
         self.serial += 1
         for doc, piece, start, tokens in members:
-            yield self.target, self.capacity, name, done, self.group, doc, piece, start, tokens
+            yield self.target, self.capacity, name, done, self.group, load, nth, doc, piece, start, tokens
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -160,23 +221,45 @@ def _packer(targets: list[tuple[int, int]], count: Callable[[], Callable[[str],
     return local
 
 
-def _merge(level: int):
-    def merge(rows: pa.Table) -> pa.Table:
-        target, capacity, group = (rows.column(c)[0].as_py() for c in ("target_id", "capacity", "grp"))
-        names = rows.column("container").combine_chunks().dictionary_encode()
-        bin_of = names.indices.to_numpy()
-        loads = np.bincount(bin_of, np.maximum(rows.column("tokens").to_numpy(), 1)).astype(np.int64)
-        order = np.lexsort((np.array(names.dictionary.to_pylist()), -loads))  # the same packing however the rows come in
-        place = np.empty(len(loads), np.int64)
-        place[order] = best_fit(loads[order].tolist(), capacity)
-        total = np.bincount(place, loads).astype(np.int64)
-        done = total >= FULL * capacity
-        done[np.argsort(total, kind="stable")[CARRY:]] = True
-        now = place[bin_of]
-        merged = pa.array([f"{target}-{level}-{group}-{b}" for b in range(len(total))])
-        return rows.set_column(2, "container", merged.take(pa.array(now))).set_column(3, "done", pa.array(done[now]))
-
-    return merge
+_MOVES_ARROW = pa.schema([("target_id", pa.int32()), ("capacity", pa.int32()), ("grp", pa.int32()), ("weight", pa.int32()), *((c, pa.int64()) for c in ("low", "high", "per")), ("parent", pa.int32()), ("bin", pa.int64()), ("bin_weight", pa.int32()), ("bin_nth", pa.int64()), ("done", pa.bool_())])
+
+
+def _round(counts: pa.Table) -> pa.Table:
+    """One round for the groups of one parent."""
+    target, capacity, parent = (counts.column(c)[0].as_py() for c in ("target_id", "capacity", "parent"))
+    placed, bins = best_fit_counts(list(zip(*(counts.column(c).to_pylist() for c in ("grp", "weight", "n")), strict=True)), capacity)
+    firsts, numbered, nth = [b[0] for b in bins], {}, []
+    for _, n, weight in bins:
+        nth.append(numbered.get(weight, 0))
+        numbered[weight] = nth[-1] + n
+    rows = []
+    for p in placed:
+        end = p.bin - (p.low - p.high) // p.per  # after its last bin
+        k = bisect_right(firsts, p.bin) - 1
+        while k < len(bins) and bins[k][0] < end:
+            first, n, weight = bins[k]
+            a, b = max(first, p.bin), min(first + n, end)
+            low, high = p.low + (a - p.bin) * p.per, min(p.high, p.low + (b - p.bin) * p.per)
+            rows.append((target, capacity, p.child, p.weight, low, high, p.per, parent, a, weight, nth[k] + a - first, weight >= FULL * capacity))
+            k += 1
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _MOVES_ARROW]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _MOVES_ARROW.types, strict=True)], schema=_MOVES_ARROW)
+
+
+def _moved(rows: DataFrame, moves: DataFrame, level: int) -> DataFrame:
+    """The document rows after a round: their container's new name, group, weight and number; what is final stays as it is."""
+    theirs = moves.select(*[F.col(c).alias(f"m_{c}") for c in moves.columns if c != "capacity"])
+    here = (F.col("target_id") == F.col("m_target_id")) & (F.col("grp") == F.col("m_grp")) & (F.col("weight") == F.col("m_weight"))
+    joined = rows.where("not done").join(theirs, here & (F.col("nth") >= F.col("m_low")) & (F.col("nth") < F.col("m_high")))
+    step = F.floor((F.col("nth") - F.col("m_low")) / F.col("m_per")).cast("bigint")
+    new = {
+        "container": F.concat_ws("-", "target_id", F.lit(level), "m_parent", F.col("m_bin") + step),
+        "nth": F.col("m_bin_nth") + step,
+        "grp": F.col("m_parent"),
+        "weight": F.col("m_bin_weight"),
+        "done": F.col("m_done"),
+    }
+    return joined.withColumns(new).select(*rows.columns)
 
 
 def pack(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -187,25 +270,35 @@ def pack(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -
     sizes = [(r[0], r[1]) for r in targets.where("target_id is not null and capacity_tokens > 0").select("target_id", "capacity_tokens").distinct().orderBy("target_id", "capacity_tokens").limit(1001).collect()]
     if len(sizes) > 1000:
         raise ValueError("more than 1000 container sizes")
-    local = spread(documents.select("doc_id", "text")).mapInArrow(_packer(sizes, lambda: token_counter(tokenizer)), PLACED)
-    placed = written(local, "packed-0")
-    final, level = [placed.where("done")], 0
+    if len({t for t, _ in sizes}) < len(sizes):
+        raise ValueError("a target with two capacities")
+    local = documents.select("doc_id", "text").mapInArrow(_packer(sizes, lambda: token_counter(tokenizer)), PLACED)
+    placed = written(local, "packed")
+    counts = placed.where("not done").groupBy("target_id", "capacity", "grp", "weight").agg((F.max("nth") + 1).alias("n"))
+    level, rows, out = 0, placed, placed.where("done")
     while True:
-        open_ = placed.where("not done")
-        most = open_.agg(F.max("grp")).first()[0]
-        if most is None or (most == 0 and level):
-            final.append(open_)
-            break
         level += 1
-        grouped = open_.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("int")).groupBy("target_id", "capacity", "grp")
-        placed = written(grouped.applyInArrow(_merge(level), PLACED), f"packed-{level}")
-        final.append(placed.where("done"))
-    out = final[0]
-    for df in final[1:]:
-        out = out.unionByName(df)
+        parents = counts.withColumn("parent", F.floor(F.col("grp") / FAN_IN).cast("int")).groupBy("target_id", "capacity", "parent")
+        moves = written(parents.applyInArrow(_round, MOVES), f"packed-moves-{level}")
+        rows = _moved(rows, moves, level)
+        if not moves.agg(F.max("parent")).first()[0]:  # one group is left, or nothing was open
+            break
+        out = out.unionByName(rows.where("done"))
+        counts = moves.where("not done").groupBy("target_id", "capacity", F.col("parent").alias("grp"), F.col("bin_weight").alias("weight")).agg(F.max(F.col("bin_nth") + F.ceil((F.col("high") - F.col("low")) / F.col("per"))).alias("n"))
+    out = out.unionByName(rows)
     return out.select("target_id", F.col("capacity").alias("capacity_tokens"), F.col("container").alias("container_id"), "doc_id", "piece", "token_start", "tokens")
 
 
+def violations(packed: DataFrame) -> DataFrame:
+    """Per target: documents placed, and what must not be: containers over capacity, texts split that fit, texts with missing or doubled pieces."""
+    by = ["target_id", "capacity_tokens"]
+    bins = packed.groupBy(*by, "container_id").agg(F.sum("tokens").alias("t")).groupBy(*by).agg(F.count(F.when(F.col("t") > F.col("capacity_tokens"), 1)).alias("over_capacity"))
+    texts = packed.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max(F.col("token_start") + F.col("tokens")).alias("end"), F.max("piece").alias("last"))
+    split = F.count(F.when((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens")), 1))
+    broken = F.count(F.when((F.col("t") != F.col("end")) | (F.col("n") != F.col("last") + 1), 1))
+    return texts.groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), split.alias("needless_splits"), broken.alias("broken_texts")).join(bins, by)
+
+
 def utilisation(packed: DataFrame) -> DataFrame:
     """Per target: containers, tokens, the fewest containers that could hold them, and the share of room in use."""
     bins = packed.groupBy("target_id", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("t"))

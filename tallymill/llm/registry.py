@@ -36,6 +36,11 @@ def p6_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.utilisation(_packed(spark, sf_dir))
 
 
+def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: documents placed, and what must not be."""
+    return packing.violations(_packed(spark, sf_dir))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -65,9 +70,10 @@ def p8_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.decisions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p7_found, p7_longest_matches, p7_clean_documents, p8_found, p8_decisions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p6_violations, p7_found, p7_longest_matches, p7_clean_documents, p8_found, p8_decisions)}
 
 ORACLE = {
+    "p6_violations": "select target_id, capacity_tokens, n as documents, 0 as needless_splits, 0 as broken_texts, 0 as over_capacity from pack_targets, (select count(*) as n from documents)",
     "p3_found": """with r as (select request_id, tenant_id, idempotency_key, row_number() over (partition by tenant_id, idempotency_key order by request_id) as copy from ingest_requests where idempotency_key <> ''),
       e as (select tenant_id, idempotency_key from stored_events union select tenant_id, idempotency_key from usage_events)
       select request_id from r where copy > 1 or exists (select 1 from e where e.tenant_id is not distinct from r.tenant_id and e.idempotency_key = r.idempotency_key)""",
