@@ -22,6 +22,16 @@ def p3_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_before.error_rates(table(spark, sf_dir, "ingest_requests"), _history(spark, sf_dir))
 
 
+def p3_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers, given batch by batch from a history that grows."""
+    return seen_before.seen_in_batches(table(spark, sf_dir, "ingest_requests"), _history(spark, sf_dir))
+
+
+def p3_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys asked for, keys never seen before, and keys that the sets have missed."""
+    return seen_before.audit(table(spark, sf_dir, "ingest_requests"), _history(spark, sf_dir))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_targets"))
 
@@ -70,11 +80,15 @@ def p8_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.decisions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rates, p6_containers, p6_utilisation, p6_violations, p7_found, p7_longest_matches, p7_clean_documents, p8_found, p8_decisions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_in_batches, p3_audit, p3_error_rates, p6_containers, p6_utilisation, p6_violations, p7_found, p7_longest_matches, p7_clean_documents, p8_found, p8_decisions)}
+
+_SEEN = """with r as (select request_id, tenant_id, idempotency_key, row_number() over (partition by tenant_id, idempotency_key order by request_id) as copy from ingest_requests where idempotency_key <> ''),
+      e as (select tenant_id, idempotency_key from stored_events union select tenant_id, idempotency_key from usage_events),
+      j as (select *, exists (select 1 from e where e.tenant_id is not distinct from r.tenant_id and e.idempotency_key = r.idempotency_key) as held from r)"""
 
 ORACLE = {
+    "p3_found": f"{_SEEN} select request_id from j where copy > 1 or held",
+    "p3_in_batches": f"{_SEEN} select request_id from j where copy > 1 or held",
+    "p3_audit": f"{_SEEN} select count(*) as probes, count(*) filter (not held) as absent, 0 as false_negatives from j where copy = 1",
     "p6_violations": "select target_id, capacity_tokens, n as documents, 0 as needless_splits, 0 as broken_texts, 0 as over_capacity from pack_targets, (select count(*) as n from documents)",
-    "p3_found": """with r as (select request_id, tenant_id, idempotency_key, row_number() over (partition by tenant_id, idempotency_key order by request_id) as copy from ingest_requests where idempotency_key <> ''),
-      e as (select tenant_id, idempotency_key from stored_events union select tenant_id, idempotency_key from usage_events)
-      select request_id from r where copy > 1 or exists (select 1 from e where e.tenant_id is not distinct from r.tenant_id and e.idempotency_key = r.idempotency_key)""",
 }
