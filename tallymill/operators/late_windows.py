@@ -32,28 +32,28 @@ STATE_KEY = ["tenant_id", "meter", "usage_day"]
 @dataclass
 class LateWindows:
     routed: DataFrame
-    """Rows in time: log_offset, the state key, arrival_day, quantity."""
+    """Rows in time: log_offset, the state key, over_on, arrival_day, quantity."""
     upserts: DataFrame
     """State key, version, arrival_day, quantity, events, corrections, is_correction: one row per key and arrival day."""
     diverted: DataFrame
     """log_offset, reason: rows that changed no total, second deliveries aside."""
 
 
-def late_windows(events: DataFrame) -> LateWindows:
-    """Route every row, build the keyed state's upserts, and find the rows behind those that correct."""
-    judged = events.withColumn("reason", verdict())
+def route(events: DataFrame) -> DataFrame:
+    """The kept copies that are in time, each with its window: log_offset, the state key, over_on (the day the window is over), arrival_day, quantity."""
     window = F.window("occurred_at", "1 day")
-    routed = (
-        judged.where(F.col("reason").isNull())
-        .join(first_deliveries(events), "log_offset", "left_semi")
-        .select("log_offset", "tenant_id", "meter", window.alias("w"), F.to_date("received_at").alias("arrival_day"), as_decimal().alias("quantity"))
-        .select("log_offset", "tenant_id", "meter", F.to_date("w.start").alias("usage_day"), F.to_date("w.end").alias("over_on"), "arrival_day", "quantity")
-    )
+    in_time = events.where(verdict().isNull()).join(first_deliveries(events), "log_offset", "left_semi")
+    rows = in_time.select("log_offset", "tenant_id", "meter", window.alias("w"), F.to_date("received_at").alias("arrival_day"), as_decimal().alias("quantity"))
+    return rows.select("log_offset", "tenant_id", "meter", F.to_date("w.start").alias("usage_day"), F.to_date("w.end").alias("over_on"), "arrival_day", "quantity")
+
+
+def upserts_of(routed: DataFrame) -> DataFrame:
+    """What the keyed state emits: a version of a key for each arrival day that touches it."""
     # partial aggregation leaves at most one row per key and arrival day and task, whatever the tenant's size
     per_arrival = routed.groupBy(*STATE_KEY, "arrival_day").agg(F.sum("quantity").alias("q"), F.count(F.lit(1)).alias("n"), (F.col("arrival_day") >= F.max("over_on")).alias("late"))
     state = Window.partitionBy(*STATE_KEY).orderBy("arrival_day")
     so_far = state.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upserts = per_arrival.select(
+    return per_arrival.select(
         *STATE_KEY,
         F.row_number().over(state).cast("bigint").alias("version"),
         "arrival_day",
@@ -62,15 +62,21 @@ def late_windows(events: DataFrame) -> LateWindows:
         F.coalesce(F.sum(F.when(F.col("late"), F.col("n"))).over(so_far), F.lit(0)).alias("corrections"),
         F.col("late").alias("is_correction"),
     )
+
+
+def late_windows(events: DataFrame) -> LateWindows:
+    """Route every row and build the keyed state's upserts."""
+    routed = route(events)
+    judged = events.withColumn("reason", verdict())
     diverted = judged.where(F.col("reason").isNotNull()).select("log_offset", "reason", "tenant_id", "meter", "occurred_at", "received_at")
-    return LateWindows(routed.drop("over_on"), upserts, diverted)
+    return LateWindows(routed, upserts_of(routed), diverted)
 
 
-def corrections(windows: LateWindows) -> DataFrame:
-    """(log_offset): the rows whose arrival made the state correct a window already over."""
-    emitted = windows.upserts.where("is_correction").select(*STATE_KEY, "arrival_day")
-    rows = written(windows.routed.select("log_offset", *STATE_KEY, "arrival_day"), "routed")
-    return skew_join(rows, emitted, [*STATE_KEY, "arrival_day"], how="left_semi").select("log_offset")
+def corrections(events: DataFrame) -> DataFrame:
+    """(log_offset): the rows whose arrival made the state correct a window already over. Routed rows are written once, for the state and for this."""
+    routed = written(route(events), "routed")
+    emitted = upserts_of(routed).where("is_correction").select(*STATE_KEY, "arrival_day")
+    return skew_join(routed.select("log_offset", *STATE_KEY, "arrival_day"), emitted, [*STATE_KEY, "arrival_day"], how="left_semi").select("log_offset")
 
 
 def latest(upserts: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted rows that correct a day already over when they arrived."""
-    return corrections(late_windows(_usage(spark, sf_dir)))
+    return corrections(_usage(spark, sf_dir))
 
 
 def p2_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,8 @@ def test_a_bad_first_delivery_still_is_the_kept_one(spark):
 def test_late_rows_correct_their_day(spark):
     day = datetime.datetime(2026, 7, 1, 10, tzinfo=datetime.timezone.utc)
     at = lambda d, q: {"occurred_at": day, "received_at": day + timedelta(days=d), "quantity": q}
-    got = late_windows(usage(spark, [at(3, "4"), at(0, "1"), at(1, "2"), at(1, "0.5"), at(36, "9"), {**at(2, "7"), "idempotency_key": "key-1"}]).withColumn("version", F.lit(9)))
+    events = usage(spark, [at(3, "4"), at(0, "1"), at(1, "2"), at(1, "0.5"), at(36, "9"), {**at(2, "7"), "idempotency_key": "key-1"}]).withColumn("version", F.lit(9))
+    got = late_windows(events)
     assert [(r["version"], str(r["arrival_day"]), r["quantity"], r["events"], r["corrections"]) for r in got.upserts.orderBy("version").collect()] == [
         (1, "2026-07-01", Decimal(1), 1, 0),
         (2, "2026-07-02", Decimal("3.5"), 3, 2),
@@ -45,7 +46,7 @@ def test_late_rows_correct_their_day(spark):
     ]
     assert latest(got.upserts).first()["quantity"] == Decimal("7.5")
     assert values(got.diverted.select("log_offset", "reason")) == [(4, "too_late")]
-    assert values(corrections(got)) == [(0,), (2,), (3,)]
+    assert values(corrections(events)) == [(0,), (2,), (3,)]
 
 
 def test_late_windows_of_nothing(spark):
