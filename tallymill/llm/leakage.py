@@ -4,8 +4,11 @@ Each task turns the text parts of its documents into numbered units: words, and
 letters and digits. A unit that no test item uses ends every match, so only stretches made of test units and at least as
 long as the shortest match can hold one; a shard's suffix array sorts all suffixes of those stretches, which loses no
 match. Every suffix of every test text is then binary-searched in the array, which gives all places where at least
-``WORDS`` (``LETTERS``) units agree, and the longest verbatim run at each. Hashes number the words; each pair reported is
-compared with the item's own words.
+``WORDS`` (``LETTERS``) units agree, and the longest verbatim run at each. Suffixes are sorted to their full length. Hashes
+number the words, so each run found is read again and compared word by word; where that fails, its longest true part counts.
+
+A shard's array is built of the units that the test set has, so it serves that test set: all its suffixes are searched in
+one pass over the corpus, and nothing of the corpus is stored.
 
 Documents stay where they are: nothing is shuffled. The test set goes to the tasks in blocks of at most ``BLOCK_CHARS``
 characters, each block with a pass over the corpus. Null and empty texts match nothing, so do items with null id or text;
@@ -25,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.mail import text_parts
-from tallymill.session import spread
 
 WORDS = 12
 LETTERS = 24
@@ -36,8 +38,8 @@ BLOCK_CHARS = 16_000_000
 #: Characters of training text in one suffix array at most, one document aside.
 SHARD_CHARS = 4_000_000
 
-#: Common runs that a shard lists at a time; results don't depend on it.
-MOST_HITS = 2_000_000
+#: Common runs that a shard lists at a time, which bounds its memory; results don't depend on it.
+LISTED = 2_000_000
 
 MATCHES = "doc_id bigint, item_id bigint, part int, doc_unit bigint, field string, item_unit int, units int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("part", pa.int32()), ("doc_unit", pa.int64()), ("field", pa.string()), ("item_unit", pa.int32()), ("units", pa.int32())])
@@ -110,12 +112,30 @@ class ItemTexts:
     place: np.ndarray
     items: np.ndarray
     fields: list[str]
+    texts: list[str]
 
     def suffixes(self) -> np.ndarray:
         """Places in ``ids`` from which at least ``least`` units follow."""
         return _long_enough(self.ids, self.least)
 
 
+def words(text: str) -> list[str]:
+    """The words of a normalised text."""
+    cls = _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    inside = np.concatenate([[False], (cls > 0) & (cls < _BREAK), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+    return [text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def longest_equal(a: list[str], b: list[str]) -> tuple[int, int]:
+    """(start, length) of the longest stretch at which both lists, of one length, agree."""
+    same = np.concatenate([[False], [x == y for x, y in zip(a, b, strict=True)], [False]])
+    edge = np.flatnonzero(same[1:] != same[:-1])
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    k = int(np.argmax(lengths)) if len(lengths) else 0
+    return (int(starts[k]), int(lengths[k])) if len(lengths) else (0, 0)
+
+
 def _places(owner: np.ndarray) -> np.ndarray:
     """Place of each unit within its text; ``owner`` ascends."""
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
@@ -169,7 +189,7 @@ def item_texts(rows: list[tuple[int, str, str]], letters: bool) -> ItemTexts:
     last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
     ids = np.insert(_number(keys, vocabulary), np.flatnonzero(last) + 1, -1)
     ended = lambda x: np.insert(x, np.flatnonzero(last) + 1, -1)
-    return ItemTexts(letters, LETTERS if letters else WORDS, vocabulary, ids, ended(owner), ended(_places(owner)), np.array([r[0] for r in rows], np.int64), [r[1] for r in rows])
+    return ItemTexts(letters, LETTERS if letters else WORDS, vocabulary, ids, ended(owner), ended(_places(owner)), np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], texts)
 
 
 def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -258,7 +278,7 @@ def longest_matches(units: Units, test: ItemTexts) -> list[tuple[np.ndarray, ...
     inside = np.cumsum(keep[:-1]) > 0  # the stretches; one unit more keeps them apart
     kept = np.flatnonzero(inside | np.append(False, inside[:-1]))
     short, source = np.append(np.where(inside[kept], ids[kept], -1), -1), np.append(source[kept], -1)
-    array = suffix_array(short, _long_enough(short, least), least)
+    array = suffix_array(short, _long_enough(short, least), int(_room(short).max()))
     probes = test.ids[own[:, None] + np.arange(least)]
     low, high = _bounds(short, array, probes)
     own, low, high = (x[high > low] for x in (own, low, high))
@@ -281,8 +301,8 @@ def longest_matches(units: Units, test: ItemTexts) -> list[tuple[np.ndarray, ...
     first = offset[at] - (ends - count)
     room_in, room_of = _room(short), _room(test.ids)
     best: tuple[np.ndarray, ...] | None = None
-    for begin in range(0, int(ends[-1]), MOST_HITS):
-        k = np.arange(begin, min(begin + MOST_HITS, int(ends[-1])))
+    for begin in range(0, int(ends[-1]), LISTED):
+        k = np.arange(begin, min(begin + LISTED, int(ends[-1])))
         probe = np.searchsorted(ends, k, side="right")
         k += first[probe]
         k += np.where(k >= skip[probe], skipped[probe], 0)
@@ -309,8 +329,14 @@ def _shard(docs: list[tuple[int, int, str, int]], tests: list[ItemTexts]) -> pa.
     for test in tests:
         keys, owner = _raw(texts, test.letters, codes, cls)
         units = Units(_number(keys, test.vocabulary), owner, _places(owner))
+        own, other = lru_cache(maxsize=8)(lambda k: words(texts[k])), lru_cache(maxsize=1024)(lambda k, t=test: words(t.texts[k]))
         for found in longest_matches(units, test):
             for text, unit, theirs, place, length in zip(*(x.tolist() for x in found), strict=True):
+                if not test.letters:  # the hashes agree; do the words?
+                    skip, length = longest_equal(own(text)[unit : unit + length], other(theirs)[place : place + length])
+                    unit, place = unit + skip, place + skip
+                    if length < test.least:
+                        continue
                 key = (docs[text][0], int(test.items[theirs]), docs[text][3])
                 row = (key[0], key[1], docs[text][1], unit, test.fields[theirs], place, length)
                 if key not in best or best[key][6] < length:
@@ -357,7 +383,7 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[ItemTexts]]:
 
 def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that leaks into it: the longest run, where it stands and how many units it has."""
-    out, texts = None, spread(documents.select("doc_id", "text"))
+    out, texts = None, documents.select("doc_id", "text")
     for tests in _blocks(items, block_chars):
         found = texts.mapInArrow(_finder(tests), MATCHES)
         out = found if out is None else out.unionAll(found)

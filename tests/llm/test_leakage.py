@@ -86,7 +86,7 @@ def test_text_that_repeats_itself(monkeypatch):
     tests = [leakage.item_texts([(9, "passage", "la " * 3000), (10, "passage", "la " * 12 + "end")], False)]
     docs = [(1, 0, "la " * 4000, 1), (2, 0, "la " * 11, 2), (3, 0, "la " * 12, 3)]
     for most in (10**9, 1000):
-        monkeypatch.setattr(leakage, "MOST_HITS", most)
+        monkeypatch.setattr(leakage, "LISTED", most)
         got = leakage._shard(docs, tests).to_pylist()
         assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 9), (1, 10), (3, 9), (3, 10)}
     assert max(r["units"] for r in leakage._shard(docs, tests).to_pylist()) >= 12
@@ -114,7 +114,7 @@ def test_longest_runs_do_not_depend_on_how_many_are_listed(monkeypatch):
     assert len(want) > 20
     got = []
     for most in (10**9, 1000, 7):
-        monkeypatch.setattr(leakage, "MOST_HITS", most)
+        monkeypatch.setattr(leakage, "LISTED", most)
         got.append(leakage._shard(docs, [leakage.item_texts(items, False)]).to_pylist())
         assert {(r["doc_id"], r["item_id"]): r["units"] for r in got[-1]} == want
         assert all(docs[r["doc_id"]][2].split()[r["doc_unit"] :][: r["units"]] == items[r["item_id"]][2].split()[r["item_unit"] :][: r["units"]] for r in got[-1])
@@ -132,3 +132,23 @@ def test_suffix_array():
     starts = np.arange(280)
     got = suffix_array(ids, starts, 12)
     assert [tuple(ids[k : k + 12]) for k in got] == sorted(tuple(ids[k : k + 12]) for k in starts)
+
+
+def test_suffixes_are_sorted_to_their_full_length():
+    ids = np.append(np.tile([1, 2, 1, 1], 200), 0)
+    starts = np.arange(700)
+    got = suffix_array(ids, starts, len(ids))
+    assert [tuple(ids[k:]) for k in got] == sorted(tuple(ids[k:]) for k in starts)
+
+
+def test_words_that_only_share_a_hash_are_no_match(monkeypatch):
+    hashes = leakage._word_hashes
+    monkeypatch.setattr(leakage, "_word_hashes", lambda codes, cls: (hashes(codes, cls)[0] % np.uint64(3), hashes(codes, cls)[1]))
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = text(40)
+    docs = [(1, 0, text(400), 1), (2, 0, passage, 2)]
+    got = leakage._shard(docs, [leakage.item_texts([(9, "passage", passage)], False)]).to_pylist()
+    assert [(x["doc_id"], x["units"]) for x in got] == [(2, 40)]
+    assert leakage.words(leakage.normal("Ärger, 3 Ärzte – x_y")) == ["ärger", "3", "ärzte", "x", "y"]
+    assert leakage.longest_equal(list("abcdx"), list("abzdx")) == (0, 2) and leakage.longest_equal(["a"], ["b"]) == (0, 0)
