@@ -43,17 +43,16 @@ NAMED = 4096
 RUN = "prefix int, n int, hi array<bigint>, lo array<bigint>, row_id array<bigint>"
 _RUN_ARROW = pa.schema([("prefix", pa.int32()), ("n", pa.int32()), ("hi", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("row_id", pa.list_(pa.int64()))])
 
+#: A run of an index that keeps a value beside each identifier.
+VALUED = f"{RUN}, value array<binary>"
+_VALUED_ARROW = _RUN_ARROW.append(pa.field("value", pa.list_(pa.binary())))
+
 
 def prefix_bits(identifiers: int) -> int:
     """Bits of the hash prefix at which at most ``PER_PREFIX`` of so many identifiers share a prefix on average; 6 at least."""
     return min(31, max(6, math.ceil(math.log2(max(1, identifiers) / PER_PREFIX))))
 
 
-def _sorted(hi: np.ndarray, lo: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((lo, hi))
-    return hi[order], lo[order], row[order]
-
-
 def contains(run_hi: np.ndarray, run_lo: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Binary search of the identifiers (hi, lo) in one run sorted by (hi, lo)."""
     found = np.zeros(len(hi), bool)
@@ -78,39 +77,82 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def _run_row(prefix: int, hi: np.ndarray, lo: np.ndarray, row: np.ndarray) -> pa.Table:
+def _run_row(prefix: int, hi: np.ndarray, lo: np.ndarray, rest: list[pa.Array]) -> pa.Table:
+    """A run's row: the identifiers and the columns beside them as lists."""
+    schema = _VALUED_ARROW if len(rest) > 1 else _RUN_ARROW
     if not len(hi):
-        return _RUN_ARROW.empty_table()
-    return pa.Table.from_arrays([pa.array([prefix], pa.int32()), pa.array([len(hi)], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (hi, lo, row))], schema=_RUN_ARROW)
+        return schema.empty_table()
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(hi)], pa.int32()), x) for x in (pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *rest)]
+    return pa.Table.from_arrays([pa.array([prefix], pa.int32()), pa.array([len(hi)], pa.int32()), *lists], schema=schema)
 
 
-def _novel(batch: pa.Table, runs: pa.Table) -> pa.Table:
+def _beside(table: pa.Table) -> list[pa.ChunkedArray]:
+    return [table.column(c) for c in ("row_id", "value") if c in table.column_names]
+
+
+def _first_run(batch: pa.Table, runs: pa.Table | None = None) -> pa.Table:
+    """The run of the batch's identifiers that none of the runs holds."""
     if not batch.num_rows:
-        return _RUN_ARROW.empty_table()
-    hi, lo, row = _sorted(_flat(batch, "hi"), _flat(batch, "lo"), _flat(batch, "row_id"))
+        return (_VALUED_ARROW if "value" in batch.column_names else _RUN_ARROW).empty_table()
+    hi, lo = _flat(batch, "hi"), _flat(batch, "lo")
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
     seen = np.zeros(len(hi), bool)
-    for run_hi, run_lo in zip(_arrays(runs.column("hi")), _arrays(runs.column("lo")), strict=True):
-        seen |= contains(run_hi, run_lo, hi, lo)
-    return _run_row(batch.column("prefix")[0].as_py(), hi[~seen], lo[~seen], row[~seen])
+    if runs is not None:
+        for run_hi, run_lo in zip(_arrays(runs.column("hi")), _arrays(runs.column("lo")), strict=True):
+            seen |= contains(run_hi, run_lo, hi, lo)
+    rest = [c.take(pa.array(order[~seen])).combine_chunks() for c in _beside(batch)]
+    return _run_row(batch.column("prefix")[0].as_py(), hi[~seen], lo[~seen], rest)
+
+
+def _novel(batch: pa.Table, runs: pa.Table) -> pa.Table:
+    return _first_run(batch, runs)
 
 
-def _first_run(batch: pa.Table) -> pa.Table:
-    return _run_row(batch.column("prefix")[0].as_py(), *_sorted(_flat(batch, "hi"), _flat(batch, "lo"), _flat(batch, "row_id")))
+def _whole(batch: pa.Table) -> pa.Table:
+    return _first_run(batch)
+
+
+def _joined(lists: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([chunk.flatten() for chunk in lists.chunks])
 
 
 def _merged(runs: pa.Table) -> pa.Table:
-    parts = [np.concatenate(_arrays(runs.column(c))) for c in ("hi", "lo", "row_id")]
-    return _run_row(runs.column("prefix")[0].as_py(), *_sorted(*parts))
+    hi, lo, *rest = [_joined(runs.column(c)) for c in ("hi", "lo", "row_id", *(["value"] if "value" in runs.column_names else []))]
+    hi, lo = hi.to_numpy(zero_copy_only=False), lo.to_numpy(zero_copy_only=False)
+    order = np.lexsort((lo, hi))
+    return _run_row(runs.column("prefix")[0].as_py(), hi[order], lo[order], [c.take(pa.array(order)) for c in rest])
+
+
+def _found(keys: pa.Table, runs: pa.Table) -> pa.Table:
+    """The keys that a run holds, with what stands beside them there."""
+    out = []
+    for r in range(runs.num_rows if keys.num_rows else 0):
+        hi, lo, row, value = (runs.column(c)[r].values for c in ("hi", "lo", "row_id", "value"))
+        run = _run_ids(hi, lo)
+        at = np.minimum(np.searchsorted(run, ids := _run_ids(keys.column("hi"), keys.column("lo"))), len(run) - 1)
+        hit = np.flatnonzero(run[at] == ids)
+        place = pa.array(at[hit])
+        out.append(pa.table({"hi": keys.column("hi").take(pa.array(hit)), "lo": keys.column("lo").take(pa.array(hit)), "row_id": row.take(place), "value": value.take(place)}))
+    return pa.concat_tables(out) if out else pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("row_id", pa.int64()), ("value", pa.binary())]).empty_table()
+
+
+def _run_ids(hi, lo) -> np.ndarray:
+    """Identifiers as pairs that sort by (hi, lo)."""
+    pairs = np.empty(len(hi), [("hi", np.int64), ("lo", np.int64)])
+    pairs["hi"], pairs["lo"] = hi.to_numpy(), lo.to_numpy()
+    return pairs
 
 
 class IdentifierIndex:
     """Immutable runs below one path of the shared folder, named by the span of batches they hold.
 
-    ``bits`` is for a new index; one that exists has its own, and another number is an error.
+    ``bits`` is for a new index; one that exists has its own, and another number is an error. With ``valued``, batches have a binary column ``value``
+    that is kept beside each identifier. ``live`` are the runs that count where the caller commits them; else those that were written whole.
     """
 
-    def __init__(self, spark: SparkSession, path: str, bits: int | None = None, fan_in: int = 3):
-        self.spark, self.path, self.fan_in = spark, path, fan_in
+    def __init__(self, spark: SparkSession, path: str, bits: int | None = None, fan_in: int = 3, valued: bool = False, live: list[tuple[int, int]] | None = None):
+        self.spark, self.path, self.fan_in, self.valued, self.live = spark, path, fan_in, valued, live
         self._files = SharedFiles(spark, path)
         if (layout := self._layout()) is None:
             self._files.publish("layout-000000.json", json.dumps({"bits": prefix_bits(0) if bits is None else bits}))
@@ -133,6 +175,8 @@ class IdentifierIndex:
 
     def runs(self) -> list[tuple[int, int]]:
         """Spans of the live runs. Only committed runs count, and a merged run stands for those within its span."""
+        if self.live is not None:
+            return self.live
         folder = f"runs-{self._layout()['number']:06d}"
         names = SharedFiles(self.spark, f"{self.path}/{folder}").names()
         spans = [tuple(map(int, m.groups())) for n in names if (m := re.fullmatch(r"(\d+)-(\d+)", n)) and self._files.exists(f"{folder}/{n}/_SUCCESS")]
@@ -141,11 +185,17 @@ class IdentifierIndex:
     def _name(self, span: tuple[int, int], number: int | None = None) -> str:
         return f"runs-{self._layout()['number'] if number is None else number:06d}/{span[0]:06d}-{span[1]:06d}"
 
+    @property
+    def _schema(self) -> str:
+        return VALUED if self.valued else RUN
+
     def _table(self, span: tuple[int, int]) -> DataFrame:
-        return self.spark.table(bucketed(self.spark, f"{self.path}/{self._name(span)}", RUN, "prefix", self._buckets))
+        return self.spark.table(bucketed(self.spark, f"{self.path}/{self._name(span)}", self._schema, "prefix", self._buckets))
 
     def _write(self, rows: DataFrame, span: tuple[int, int]) -> None:
-        rows.write.insertInto(bucketed(self.spark, f"{self.path}/{self._name(span)}", RUN, "prefix", self._buckets), overwrite=True)
+        rows.write.insertInto(bucketed(self.spark, f"{self.path}/{self._name(span)}", self._schema, "prefix", self._buckets), overwrite=True)
+        if self.live is not None:
+            self.live = sorted([s for s in self.live if not (span[0] <= s[0] and s[1] <= span[1])] + [span])
 
     def read(self, spans: list[tuple[int, int]] | None = None) -> DataFrame | None:
         """The live runs, or None before the first batch.
@@ -159,7 +209,7 @@ class IdentifierIndex:
         return out
 
     def _prefixed(self, batch: DataFrame) -> DataFrame:
-        return batch.select(self._prefix(), "hi", "lo", "row_id")
+        return batch.select(self._prefix(), "hi", "lo", "row_id", *(["value"] if self.valued else []))
 
     def _prefix(self) -> Column:
         return F.shiftrightunsigned("hi", 64 - self.bits).cast("int").alias("prefix")
@@ -176,7 +226,7 @@ class IdentifierIndex:
         """Add a batch of (hi, lo, row_id), at most one row per identifier, if it isn't there from an earlier try. ``keys`` (hi) may tell more cheaply which prefixes it touches."""
         runs, known = self.runs(), self.touched(batch if keys is None else keys)
         by_prefix = self._prefixed(batch).groupBy("prefix")
-        novel = by_prefix.applyInArrow(_first_run, RUN) if known is None else by_prefix.cogroup(known.select("prefix", "hi", "lo").groupBy("prefix")).applyInArrow(_novel, RUN)
+        novel = by_prefix.applyInArrow(_whole, self._schema) if known is None else by_prefix.cogroup(known.select("prefix", "hi", "lo").groupBy("prefix")).applyInArrow(_novel, self._schema)
         number = runs[-1][1] + 1 if runs else 0
         self._write(novel, (number, number))
         self._tidy()
@@ -192,7 +242,7 @@ class IdentifierIndex:
         while len(last := self.runs()[-self.fan_in :]) == self.fan_in and len({self._level(s) for s in last}) == 1:
             self.merge(last)
             held = self.read().agg(F.sum("n")).first()[0] or 0
-            if held > 4 * PER_PREFIX << self.bits:
+            if self.live is None and held > 4 * PER_PREFIX << self.bits:
                 self.resplit(prefix_bits(held))
 
     def merge(self, runs: list[tuple[int, int]] | None = None) -> None:
@@ -200,22 +250,34 @@ class IdentifierIndex:
         runs = self.runs() if runs is None else runs
         if len(runs) < 2:
             return
-        self._write(self.read(runs).groupBy("prefix").applyInArrow(_merged, RUN), (runs[0][0], runs[-1][1]))
-        for span in runs:
+        self._write(self.read(runs).groupBy("prefix").applyInArrow(_merged, self._schema), (runs[0][0], runs[-1][1]))
+        if self.live is None:
+            self.drop(runs)
+
+    def drop(self, spans: list[tuple[int, int]]) -> None:
+        """Delete runs that no longer count."""
+        for span in spans:
             self._files.delete(self._name(span))
 
     def resplit(self, bits: int) -> None:
         """Lay all runs out under prefixes of ``bits`` bits. The new layout counts once its run is whole; then the old one goes."""
         runs, old, number = self.runs(), self.read(), self._layout()["number"]
         new = IdentifierIndex.__new__(IdentifierIndex)
-        new.spark, new.path, new.fan_in, new._files = self.spark, self.path, self.fan_in, self._files
+        new.spark, new.path, new.fan_in, new.valued, new.live, new._files = self.spark, self.path, self.fan_in, self.valued, None, self._files
         new._layout = lambda: {"number": number + 1, "bits": bits}
         if old is not None:
-            rows = old.select(F.explode(F.arrays_zip("hi", "lo", "row_id")).alias("x")).select("x.*")
-            new._write(new._prefixed(rows).groupBy("prefix").applyInArrow(_first_run, RUN), (runs[0][0], runs[-1][1]))
+            rows = old.select(F.explode(F.arrays_zip("hi", "lo", "row_id", *(["value"] if self.valued else []))).alias("x")).select("x.*")
+            new._write(new._prefixed(rows).groupBy("prefix").applyInArrow(_whole, self._schema), (runs[0][0], runs[-1][1]))
         self._files.publish(f"layout-{number + 1:06d}.json", json.dumps({"bits": bits}))
         self._files.delete(f"runs-{number:06d}")
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """(hi, lo, row_id, value) of those of ``keys`` (hi, lo), unique, that a valued index holds."""
+        known, shape = self.touched(keys), "hi bigint, lo bigint, row_id bigint, value binary"
+        if known is None:
+            return self.spark.createDataFrame([], shape)
+        return keys.select(self._prefix(), "hi", "lo").groupBy("prefix").cogroup(known.select("prefix", "hi", "lo", "row_id", "value").groupBy("prefix")).applyInArrow(_found, shape)
+
     def kept(self) -> DataFrame:
         """(row_id) of every copy that was kept."""
         runs = self.read()

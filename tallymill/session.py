@@ -12,17 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
 _made: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def session(app: str = "tallymill", cpus: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings every job here assumes: UTC, ANSI, AQE."""
+    """A local session, for tests and the bench, with the settings every job here assumes: UTC, ANSI, AQE.
+
+    On a cluster the number of shuffle partitions is the job's own; here it is the number of cores, 8 where that isn't given.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -70,6 +74,9 @@ def clear_scratch(spark: SparkSession) -> int:
     for path in paths:
         root, _, name = path.rpartition("/")
         SharedFiles(spark, root).delete(name)
+        for table in [t for t, at in _tables.items() if at == path or at.startswith(f"{path}/")]:
+            spark.sql(f"drop table if exists {table}")
+            del _tables[table]
     return len(paths)
 
 
@@ -88,25 +95,10 @@ def bucketed(spark: SparkSession, path: str, schema: str, column: str, buckets:
     """
     name = f"tallymill_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
     spark.sql(f"create table if not exists {name} ({schema}) using parquet clustered by ({column}) into {buckets} buckets location '{path}'")
+    _tables[name] = path
     return name
 
 
-#: Bytes a core that make up a partition of their own in any scan.
-_OWN_PARTITION = 4 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in a partition for each core, for work that costs far more than moving its rows.
-
-    Only an input that the planner takes for smaller than 4 MiB a core is moved, as its few files or row groups would leave cores idle; a larger
-    one stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # whole files: estimates for pruned columns take texts for short
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * _OWN_PARTITION else df
-
-
 class SharedFiles:
     """The few calls on the shared file system that the drivers of multi-step jobs need."""
 

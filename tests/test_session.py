@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tallymill.session import SharedFiles, clear_scratch, scratch, shared_dir, spread, written
+from tallymill.session import SharedFiles, bucketed, clear_scratch, scratch, shared_dir, written
 from tests.helpers import values
 
 
@@ -42,8 +42,11 @@ def test_publish_is_first_wins(spark, tmp_path):
     assert not files.exists("a.json")
 
 
-def test_only_small_inputs_are_spread(spark, monkeypatch):
-    small = written(spark.range(100).coalesce(1), "small")
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr("tallymill.session._OWN_PARTITION", 1)
-    assert spread(small) is small
+def test_a_bucketed_table_is_known_by_its_path(spark):
+    path = scratch(spark, "buckets")
+    name = bucketed(spark, path, "k int, v int", "k", 4)
+    spark.range(40).selectExpr("cast(id % 8 as int) as k", "cast(id as int) as v").write.insertInto(name, overwrite=True)
+    assert bucketed(spark, path, "k int, v int", "k", 4) == name and spark.table(name).count() == 40
+    assert "Exchange" not in spark.table(name).groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    clear_scratch(spark)
+    assert not spark.catalog.tableExists(name)
