@@ -12,7 +12,7 @@ two results; names that begin with ``__`` are reserved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.keys import has_key, id_hi, id_lo
@@ -23,15 +23,20 @@ _MESSAGE = "__message"
 _STORED = 1 << 62
 
 
+def _identity(hi: Column, lo: Column) -> Column:
+    return F.concat(F.hex(hi), F.lit("."), F.hex(lo))
+
+
 def _with_message(df: DataFrame) -> DataFrame:
-    identity = F.concat(F.hex(id_hi("tenant_id", "idempotency_key")), F.lit("."), F.hex(id_lo("tenant_id", "idempotency_key")))
-    return df.where(has_key()).withColumn(_MESSAGE, identity)
+    if "idempotency_key" not in df.columns:  # stored rows that come by their identifier
+        return df.withColumn(_MESSAGE, _identity(F.col("hi"), F.col("lo")))
+    return df.where(has_key()).withColumn(_MESSAGE, _identity(id_hi("tenant_id", "idempotency_key"), id_lo("tenant_id", "idempotency_key")))
 
 
 def first_rows(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(message, __first_offset, __first_fingerprint): the row that each key's deliveries are compared with.
 
-    ``stored`` rows come before all of the log and have negative offsets here. If they have a column ``rank`` (not negative), the lowest is first
+    ``stored`` rows come before all of the log and have negative offsets here; they have tenant_id and idempotency_key, or hi and lo. If they have a column ``rank`` (not negative), the lowest is first
     among rows of one key.
     """
     of_log = _with_message(log).select(_MESSAGE, F.col("log_offset").alias("o"), F.hex("fingerprint").alias("f"))
@@ -40,13 +45,9 @@ def first_rows(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return of_log.groupBy(_MESSAGE).agg(F.min("o").alias("__first_offset"), F.min_by("f", "o").alias("__first_fingerprint"))
 
 
-def classify(log: DataFrame, stored: DataFrame | None = None, skewed: bool = True) -> DataFrame:
-    """``log`` with ``outcome`` and ``first_fingerprint`` (hex).
-
-    ``skewed=False`` joins the firsts back by an ordinary join; it is for batches whose size is bounded, where no key can be too large for a task.
-    """
-    rows, firsts = _with_message(log), first_rows(log, stored)
-    joined = skew_join(rows, firsts, _MESSAGE) if skewed else rows.join(firsts, _MESSAGE, "left")
+def classify(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``log`` with ``outcome`` and ``first_fingerprint`` (hex)."""
+    joined = skew_join(_with_message(log), first_rows(log, stored), _MESSAGE)
     same = F.col("__first_fingerprint").isNull() | F.hex("fingerprint").eqNullSafe(F.col("__first_fingerprint"))
     outcome = F.when(F.col("log_offset") == F.col("__first_offset"), "inserted").when(same, "duplicate").otherwise("conflict")
     return joined.withColumns({"outcome": outcome, "first_fingerprint": F.col("__first_fingerprint")}).drop(_MESSAGE, "__first_offset", "__first_fingerprint")

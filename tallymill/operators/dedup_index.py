@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,7 +184,11 @@ class IdentifierIndex:
         return sorted(s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans))
 
     def _name(self, span: tuple[int, int], number: int | None = None) -> str:
-        return f"runs-{self._layout()['number'] if number is None else number:06d}/{span[0]:06d}-{span[1]:06d}"
+        return f"runs-{self._layout()['number'] if number is None else number:06d}/{span[0]:06d}-{span[1]:06d}" + "".join(f"-{tag}" for tag in span[2:])
+
+    def _span(self, low: int, high: int) -> tuple:
+        """A new run's name. Where the caller commits runs, each attempt writes one of its own, so that no other attempt can change it."""
+        return (low, high) if self.live is None else (low, high, uuid.uuid4().hex[:12])
 
     @property
     def _schema(self) -> str:
@@ -228,7 +233,14 @@ class IdentifierIndex:
         by_prefix = self._prefixed(batch).groupBy("prefix")
         novel = by_prefix.applyInArrow(_whole, self._schema) if known is None else by_prefix.cogroup(known.select("prefix", "hi", "lo").groupBy("prefix")).applyInArrow(_novel, self._schema)
         number = runs[-1][1] + 1 if runs else 0
-        self._write(novel, (number, number))
+        self._write(novel, self._span(number, number))
+        self._tidy()
+
+    def append(self, batch: DataFrame) -> None:
+        """Add a batch of identifiers of which the caller knows that no run holds them."""
+        runs = self.runs()
+        number = runs[-1][1] + 1 if runs else 0
+        self._write(self._prefixed(batch).groupBy("prefix").applyInArrow(_whole, self._schema), self._span(number, number))
         self._tidy()
 
     def _level(self, span: tuple[int, int]) -> int:
@@ -241,16 +253,29 @@ class IdentifierIndex:
         """Merge while ``fan_in`` runs of one level stand last; lay out anew what has outgrown its prefixes."""
         while len(last := self.runs()[-self.fan_in :]) == self.fan_in and len({self._level(s) for s in last}) == 1:
             self.merge(last)
-            held = self.read().agg(F.sum("n")).first()[0] or 0
-            if self.live is None and held > 4 * PER_PREFIX << self.bits:
+            if self.live is None and self.outgrown(held := self.held()):
                 self.resplit(prefix_bits(held))
 
+    def held(self) -> int:
+        """How many identifiers the live runs hold."""
+        runs = self.read()
+        return 0 if runs is None else runs.agg(F.sum("n")).first()[0] or 0
+
+    def outgrown(self, held: int) -> bool:
+        return held > 4 * PER_PREFIX << self.bits
+
+    def rows(self) -> DataFrame | None:
+        """(hi, lo, row_id and value, if kept) of the live runs."""
+        runs = self.read()
+        columns = ["hi", "lo", "row_id", *(["value"] if self.valued else [])]
+        return runs if runs is None else runs.select(F.explode(F.arrays_zip(*columns)).alias("x")).select("x.*")
+
     def merge(self, runs: list[tuple[int, int]] | None = None) -> None:
         """Merge neighbouring runs, all if none are named, into one, bucket by bucket. The old ones go only when the new one is committed."""
         runs = self.runs() if runs is None else runs
         if len(runs) < 2:
             return
-        self._write(self.read(runs).groupBy("prefix").applyInArrow(_merged, self._schema), (runs[0][0], runs[-1][1]))
+        self._write(self.read(runs).groupBy("prefix").applyInArrow(_merged, self._schema), self._span(runs[0][0], runs[-1][1]))
         if self.live is None:
             self.drop(runs)
 
@@ -261,19 +286,18 @@ class IdentifierIndex:
 
     def resplit(self, bits: int) -> None:
         """Lay all runs out under prefixes of ``bits`` bits. The new layout counts once its run is whole; then the old one goes."""
-        runs, old, number = self.runs(), self.read(), self._layout()["number"]
+        runs, old, number = self.runs(), self.rows(), self._layout()["number"]
         new = IdentifierIndex.__new__(IdentifierIndex)
         new.spark, new.path, new.fan_in, new.valued, new.live, new._files = self.spark, self.path, self.fan_in, self.valued, None, self._files
         new._layout = lambda: {"number": number + 1, "bits": bits}
         if old is not None:
-            rows = old.select(F.explode(F.arrays_zip("hi", "lo", "row_id", *(["value"] if self.valued else []))).alias("x")).select("x.*")
-            new._write(new._prefixed(rows).groupBy("prefix").applyInArrow(_whole, self._schema), (runs[0][0], runs[-1][1]))
+            new._write(new._prefixed(old).groupBy("prefix").applyInArrow(_whole, self._schema), (runs[0][0], runs[-1][1]))
         self._files.publish(f"layout-{number + 1:06d}.json", json.dumps({"bits": bits}))
         self._files.delete(f"runs-{number:06d}")
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """(hi, lo, row_id, value) of those of ``keys`` (hi, lo), unique, that a valued index holds."""
-        known, shape = self.touched(keys), "hi bigint, lo bigint, row_id bigint, value binary"
+    def lookup(self, keys: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """(hi, lo, row_id, value) of those of ``keys`` (hi, lo), unique, that a valued index holds. ``rows`` (hi) may tell more cheaply which prefixes they touch."""
+        known, shape = self.touched(keys if rows is None else rows), "hi bigint, lo bigint, row_id bigint, value binary"
         if known is None:
             return self.spark.createDataFrame([], shape)
         return keys.select(self._prefix(), "hi", "lo").groupBy("prefix").cogroup(known.select("prefix", "hi", "lo", "row_id", "value").groupBy("prefix")).applyInArrow(_found, shape)

@@ -5,6 +5,11 @@ publishes a manifest ``<from>.json`` that names the folder, the next offset and
 rows only through manifests. Manifests, not the stream's checkpoint, say how far a consumer is: a batch is cut at the last
 published offset, so replay after a lost checkpoint only counts duplicates and conflicts, and a batch that failed or was
 interrupted leaves nothing that anyone sees. One consumer writes one table; others have tables of their own.
+
+Which keys are committed is kept in an identifier index with the fingerprint beside each key. A batch looks up its own keys
+in the buckets it touches and adds what it inserts as a run; the manifest names the runs that count, so the index moves with
+the rows. A batch therefore costs what it holds, not what the table holds, and needs one manifest, the last. Every
+``SNAPSHOT`` manifests the folders so far are listed in one file, so a reader opens few.
 """
 
 from __future__ import annotations
@@ -20,15 +25,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallymill.functions.keys import has_key, id_hi, id_lo
 from tallymill.operators.classify import classify
+from tallymill.operators.dedup_index import IdentifierIndex, prefix_bits
 from tallymill.session import SharedFiles
 from tallymill.sources.log_segments import register
 from tallymill.sources.requests import decode_event
 
 ROW = "id bigint, tenant_id string, meter string, quantity decimal(38,9), occurred_at timestamp, received_at timestamp, idempotency_key string, payload_fingerprint binary"
-#: Rows from which a batch is too large to trust that no key is too large for a task.
-LARGE_BATCH = 5_000_000
-#: Rows up to which a batch's identifiers, 16 bytes each, are broadcast, so that published rows of other keys are left out as they are scanned.
-SMALL_BATCH = 1_000_000
+#: Manifests after which the folders so far are listed in one file.
+SNAPSHOT = 64
 LETTER = "log_offset bigint, reason string, tenant_id string, idempotency_key string"
 
 
@@ -44,13 +48,6 @@ class Stats:
             setattr(self, name, getattr(self, name) + getattr(other, name))
 
 
-def _with_keys_of(published: DataFrame, batch: DataFrame) -> DataFrame:
-    """The published rows whose key occurs in the batch; the published table is scanned for two columns and not shuffled."""
-    ids = {"__hi": id_hi("tenant_id", "idempotency_key"), "__lo": id_lo("tenant_id", "idempotency_key")}
-    mine = batch.where(has_key()).withColumns(ids).select(*ids).distinct()
-    return published.withColumns(ids).join(F.broadcast(mine), list(ids), "left_semi").drop(*ids)
-
-
 class Consumer:
     """A named consumer of an event log into the table below ``root/<name>``.
 
@@ -64,13 +61,27 @@ class Consumer:
         self.spark, self.home, self.on_poison = spark, f"{root}/{name}", on_poison
         self._commits = SharedFiles(spark, f"{self.home}/commits")
 
+    def _manifest_names(self) -> list[str]:
+        return [n for n in self._commits.names() if n.endswith(".json") and n[0].isdigit()]
+
+    def _last(self) -> dict:
+        """The last published manifest; before any, one that says so."""
+        names = self._manifest_names()
+        return json.loads(self._commits.read(names[-1])) if names else {"next_offset": 0, "index": {"path": "index-0", "runs": [], "held": 0}}
+
     def manifests(self) -> list[dict]:
         """Published batches in order of their offsets."""
-        return [json.loads(self._commits.read(n)) for n in self._commits.names() if n.endswith(".json") and not n.startswith(".")]
+        snapshots, names = [n for n in self._commits.names() if n.startswith("snapshot-")], self._manifest_names()
+        known = json.loads(self._commits.read(snapshots[-1])) if snapshots else []
+        return known + [json.loads(self._commits.read(n)) for n in names[len(known) :]]
 
     def next_offset(self) -> int:
         """The offset to be read next; 0 before anything was read. It never moves backwards."""
-        return max((m["next_offset"] for m in self.manifests()), default=0)
+        return self._last()["next_offset"]
+
+    def _index(self, state: dict) -> IdentifierIndex:
+        named = state["index"]
+        return IdentifierIndex(self.spark, f"{self.home}/{named['path']}", fan_in=4, valued=True, live=[tuple(r) for r in named["runs"]])
 
     def rows(self) -> DataFrame:
         """All published rows."""
@@ -99,7 +110,8 @@ class Consumer:
         counted as read and as conflict, goes to the dead letters and is stepped over.
         """
         batch = self._decoded(batch)
-        start = self.next_offset()
+        state = self._last()
+        start, index = state["next_offset"], self._index(state)
         decimal = F.col("quantity").try_cast(T.DecimalType(38, 9))
         usable = has_key() & decimal.isNotNull()
         poison = has_key() & F.col("quantity").isNotNull() & decimal.isNull()
@@ -109,12 +121,12 @@ class Consumer:
         seen = batch.agg(F.count(F.lit(1)).alias("rows"), F.min("log_offset").alias("low"), F.max("log_offset").alias("high"), first(new & poison).alias("poison"), count(new & usable).alias("usable"), count(new & ~usable).alias("unusable")).first()
         if seen["high"] is None:
             return Stats()
-        published, skewed = self.rows(), seen["rows"] > LARGE_BATCH
-        if start and seen["rows"] <= SMALL_BATCH:
-            published = _with_keys_of(published, batch)
+        ids = {"hi": id_hi("tenant_id", "idempotency_key"), "lo": id_lo("tenant_id", "idempotency_key")}
+        keys = batch.where(usable).select(*[e.alias(n) for n, e in ids.items()])
+        committed = index.lookup(keys.distinct(), keys).select("hi", "lo", F.col("value").alias("payload_fingerprint"))
         replayed = Stats()
         if seen["low"] < start:
-            replayed = self._count(classify(batch.where(~new & usable), published))
+            replayed = self._count(classify(batch.where(~new & usable), committed))
             if replayed.inserted:
                 raise RuntimeError(f"offsets below {start} that were never applied: the log's files came out of order")
         if seen["high"] < start:
@@ -122,7 +134,7 @@ class Consumer:
         if self.on_poison == "fail" and seen["poison"] is not None:
             raise ValueError(f"quantity at offset {seen['poison']} is no decimal")
         folder = f"{self.home}/data/{start}-{uuid.uuid4().hex[:12]}"
-        judged = classify(batch.where(new & usable), published, skewed).where("outcome <> 'duplicate'")
+        judged = classify(batch.where(new & usable), committed).where("outcome <> 'duplicate'")
         judged.select(F.col("log_offset").alias("id"), "tenant_id", "meter", decimal.alias("quantity"), "occurred_at", "received_at", "idempotency_key", F.col("fingerprint").alias("payload_fingerprint"), "outcome").write.partitionBy("outcome").parquet(folder)
         n = {r["outcome"]: r["count"] for r in self.spark.read.schema(f"{ROW}, outcome string").parquet(folder).groupBy("outcome").count().collect()}
         stats = Stats(seen["usable"], n.get("inserted", 0), seen["usable"] - sum(n.values()), n.get("conflict", 0))
@@ -131,12 +143,34 @@ class Consumer:
             batch.where(new & ~usable).select("log_offset", reason.alias("reason"), "tenant_id", "idempotency_key").write.parquet(f"{folder}-refused")
             stats.add(Stats(seen["unusable"], 0, 0, seen["unusable"]))
         paths = {"rows": f"{folder}/outcome=inserted" if stats.inserted else None, "conflicting": f"{folder}/outcome=conflict" if n.get("conflict") else None, "refused": f"{folder}-refused" if seen["unusable"] else None}
-        manifest = {"from": start, "next_offset": seen["high"] + 1, **paths, **vars(stats)}
+        if stats.inserted:
+            inserted = self.spark.read.schema(ROW).parquet(paths["rows"])
+            index.append(inserted.select(*[e.alias(n) for n, e in ids.items()], F.col("id").alias("row_id"), F.col("payload_fingerprint").alias("value")))
+        named = self._grown(index, state["index"]["path"], state["index"]["held"] + stats.inserted)
+        manifest = {"from": start, "next_offset": seen["high"] + 1, **paths, **vars(stats), "index": named}
         if not self._commits.publish(f"{start:020d}.json", json.dumps(manifest)):
             raise RuntimeError("another writer published this batch")
+        if named["path"] == state["index"]["path"]:
+            index.drop([tuple(r) for r in state["index"]["runs"] if r not in named["runs"]])
+        if len(self._manifest_names()) % SNAPSHOT == 0:
+            done = [{k: m[k] for k in ("from", "next_offset", "rows", "conflicting", "refused", "read", "inserted", "duplicates", "conflicts")} for m in self.manifests()]
+            self._commits.publish(f"snapshot-{start:020d}.json", json.dumps(done))
         stats.add(replayed)
         return stats
 
+    def _grown(self, index: IdentifierIndex, path: str, held: int) -> dict:
+        """What the manifest says of the index: its place and runs; an index that has outgrown its prefixes is laid out anew at another place."""
+        if not index.outgrown(held):
+            return {"path": path, "runs": [list(r) for r in index.runs()], "held": held}
+        path = f"index-{uuid.uuid4().hex[:12]}"
+        larger = IdentifierIndex(self.spark, f"{self.home}/{path}", prefix_bits(held), fan_in=4, valued=True, live=[])
+        larger.append(index.rows())
+        return {"path": path, "runs": [list(r) for r in larger.runs()], "held": held}
+
+    def drain_table(self, log: DataFrame, cuts: list[int]) -> list[Stats]:
+        """Read the log in batches [cuts[k], cuts[k + 1]) of its offsets, which the scan turns into ranges of row groups; the statistics of each."""
+        return [self.apply(log.where((F.col("log_offset") >= low) & (F.col("log_offset") < high))) for low, high in zip(cuts, cuts[1:], strict=False)]
+
     @staticmethod
     def _count(classified: DataFrame) -> Stats:
         n = {r["outcome"]: r["count"] for r in classified.groupBy("outcome").count().collect()}

@@ -5,11 +5,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallymill.operators import dedup_index
+from tallymill.operators.classify import classify
 from tallymill.operators.late_windows import late_windows, latest
 from tallymill.session import SharedFiles
 from tallymill.sources.log_segments import write_log
 from tallymill.sources.requests import encode_event, read_bodies
 from tallymill.sources.tables import USAGE_EVENTS, table
+from tallymill.streaming import drain
 from tallymill.streaming.drain import Consumer, Stats
 from tallymill.streaming.late_stream import current_totals, start_usage_stream
 from tests.helpers import usage, values
@@ -73,11 +76,32 @@ def test_interrupted_batch_is_invisible(spark, tmp_path, monkeypatch):
 def test_a_second_writer_loses(spark, tmp_path, monkeypatch):
     rows = usage(spark, [{} for _ in range(20)])
     one, two = (Consumer(spark, str(tmp_path / "out"), "a") for _ in range(2))
-    monkeypatch.setattr(two, "next_offset", lambda: 0)  # it has looked before the other published
+    monkeypatch.setattr(two, "_last", lambda state=two._last(): state)  # it has looked before the other published
     one.apply(rows.where("log_offset < 5"))
     with pytest.raises(RuntimeError, match="another writer"):
         two.apply(rows.where("log_offset < 9"))
     assert one.rows().count() == one.next_offset() == 5
+    # what the loser wrote changes nothing of the index: keys it alone had are still new, those of the winner are known
+    assert one.apply(rows.where("log_offset >= 5")) == Stats(15, 15, 0, 0)
+    again = usage(spark, [{"log_offset": 20 + k, "idempotency_key": f"key-{k}"} for k in range(20)])
+    assert one.apply(again) == Stats(20, 0, 20, 0)
+
+
+def test_many_batches_with_a_growing_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup_index, "PER_PREFIX", 1)
+    monkeypatch.setattr(drain, "SNAPSHOT", 3)
+    rows = usage(spark, [{"idempotency_key": f"k{k // 2 if k % 3 else k}", "fingerprint": bytes([k % 2])} for k in range(400)])
+    consumer = Consumer(spark, str(tmp_path / "out"), "a")
+    total = Stats()
+    for stats in consumer.drain_table(rows, list(range(0, 401, 50))):
+        total.add(stats)
+    want = values(classify(rows).groupBy("outcome").count())
+    assert [("conflict", total.conflicts), ("duplicate", total.duplicates), ("inserted", total.inserted)] == want
+    assert values(consumer.rows().select("id")) == values(classify(rows).where("outcome = 'inserted'").select("log_offset"))
+    state = consumer._last()
+    assert state["index"]["path"] != "index-0" and state["index"]["held"] == total.inserted and len(state["index"]["runs"]) < 8
+    assert [n for n in consumer._commits.names() if n.startswith("snapshot")] and len(consumer.manifests()) == 8
+    assert sum(m["inserted"] for m in consumer.manifests()) == total.inserted
 
 
 def test_lost_offsets_are_noticed(spark, tmp_path):
