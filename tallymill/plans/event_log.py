@@ -64,10 +64,11 @@ def fingerprint_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("log_offset", F.lower(F.hex(fingerprint(F.col("tenant_id"), F.col("meter"), F.col("quantity"), rfc3339_nano(F.col("occurred_at"))))).alias("fingerprint"))
 
 
-def fingerprint_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivered fingerprints that their row's content doesn't give."""
-    given = _usage(spark, sf_dir).where("fingerprint is not null").select("log_offset", F.lower(F.hex("fingerprint")).alias("delivered"))
-    return given.join(fingerprint_hex(spark, sf_dir), "log_offset").where("delivered <> fingerprint").select("log_offset")
+def fingerprint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: delivered fingerprints that could be compared with their row's content, those it doesn't give, and rows that came without one."""
+    rows = _usage(spark, sf_dir).where(is_plain() & F.col("tenant_id").isNotNull() & F.col("meter").isNotNull() & F.col("occurred_at").isNotNull())
+    computed = fingerprint(F.col("tenant_id"), F.col("meter"), F.col("quantity"), rfc3339_nano(F.col("occurred_at")))
+    return rows.agg(F.count("fingerprint").alias("compared"), F.count(F.when(F.col("fingerprint") != computed, 1)).alias("mismatches"), F.count(F.when(F.col("fingerprint").isNull(), 1)).alias("missing"))
 
 
 def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,14 +77,10 @@ def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("request_id", F.lower(F.hex(fingerprint(F.col("tenant_id"), F.col("meter"), F.col("quantity"), rfc3339_text_in_utc(F.col("occurred_at"))))).alias("fingerprint"))
 
 
-def event_codec_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: records that don't come back as they were from encoding and strict decoding."""
-    columns = ["tenant_id", "meter", "quantity", "occurred_at", "received_at", "idempotency_key", "fingerprint"]
-    back = _usage(spark, sf_dir).withColumn("back", decode_event(encode_event()))
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"back.{c}"))
-    return back.agg(F.count(F.when(~F.coalesce(same, F.lit(False)), 1)).alias("losses"))
+def event_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event after encoding and strict decoding."""
+    back = _usage(spark, sf_dir).select("log_offset", decode_event(encode_event()).alias("e")).select("log_offset", "e.*")
+    return back.withColumns({"occurred_at": F.unix_micros("occurred_at"), "received_at": F.unix_micros("received_at"), "fingerprint": F.lower(F.hex("fingerprint"))})
 
 
 # classification
@@ -201,30 +198,32 @@ def sparse_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_is_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: what a second drain of the whole log would insert on top of the first."""
+    """One row: what a second drain of the whole log would insert on top of the first, and what it would find again."""
     log = _usage(spark, sf_dir)
     first = classify(log).where("outcome = 'inserted'").withColumnRenamed("fingerprint", "payload_fingerprint")
     again = classify(log, first.select("tenant_id", "idempotency_key", "payload_fingerprint"))
-    return again.agg(F.count(F.when(F.col("outcome") == "inserted", 1)).alias("inserted"), F.count(F.lit(1)).alias("deliveries"))
+    of = lambda outcome: F.count(F.when(F.col("outcome") == outcome, 1))
+    return again.agg(of("inserted").alias("inserted"), of("duplicate").alias("duplicates"), of("conflict").alias("conflicts"))
 
 
 def invariant_one_event_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: keys with more than one inserted delivery."""
-    per = classify(_usage(spark, sf_dir)).where("outcome = 'inserted'").groupBy("tenant_id", "idempotency_key").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.count(F.when(F.col("n") > 1, 1)).alias("violations"))
+    """One row: keys, inserted deliveries, and keys with more than one of them."""
+    per = classify(_usage(spark, sf_dir)).groupBy("tenant_id", "idempotency_key").agg(F.count(F.when(F.col("outcome") == "inserted", 1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("inserted"), F.count(F.when(F.col("n") != 1, 1)).alias("violations"))
 
 
 def invariant_nothing_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: deliveries that are neither classified nor without key."""
+    """One row: deliveries, those that are classified, those without key, and those that are neither."""
     log = _usage(spark, sf_dir)
-    accounted = classify(log).select("log_offset").unionByName(log.where(~has_key()).select("log_offset"))
-    return log.select("log_offset").join(accounted, "log_offset", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
+    seen = classify(log).select("log_offset", F.lit("classified").alias("as")).unionByName(log.where(~has_key()).select("log_offset", F.lit("keyless").alias("as")))
+    of = lambda what: F.count(F.when(F.col("as") == what, 1))
+    return log.select("log_offset").join(seen, "log_offset", "left").agg(F.count(F.lit(1)).alias("deliveries"), of("classified").alias("classified"), of("keyless").alias("keyless"), F.count(F.when(F.col("as").isNull(), 1)).alias("lost"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        validate_verdicts, verdict_counts, request_bodies, canonical_quantity, fingerprint_hex, fingerprint_mismatches, request_fingerprints, event_codec_losses,
+        validate_verdicts, verdict_counts, request_bodies, canonical_quantity, fingerprint_hex, fingerprint_check, request_fingerprints, event_codec,
         classify_outcomes, outcome_counts, dedup_first_wins, key_reuse_conflicts, ingest_responses, dead_letter, lateness, late_by_bucket, tenant_period_usage, meter_usage_daily,
         offset_range_scan, log_end, consumer_cursors, consumer_lags, segment_assignment, sparse_index_lookup, replay_is_noop, invariant_one_event_per_key, invariant_nothing_lost,
     )
@@ -293,9 +292,9 @@ ORACLE = {
     "request_bodies": f"with {_VERDICT} select request_id, cast(split_part(v, '|', 1) as int) as status, split_part(v, '|', 2) as code from judged",
     "canonical_quantity": f"select log_offset, {_CANONICAL} as canonical from usage_events where {_PLAIN}",
     "fingerprint_hex": f"select log_offset, {_sha(_NANO.format('occurred_at'))} as fingerprint from usage_events where {_ROW_OK}",
-    "fingerprint_mismatches": f"select log_offset from usage_events where {_ROW_OK} and fingerprint is not null and lower(hex(fingerprint)) <> {_sha(_NANO.format('occurred_at'))}",
+    "fingerprint_check": f"select count(fingerprint) as compared, count(*) filter (lower(hex(fingerprint)) <> {_sha(_NANO.format('occurred_at'))}) as mismatches, count(*) filter (fingerprint is null) as missing from usage_events where {_ROW_OK}",
     "request_fingerprints": f"with {_VERDICT} select request_id, {_sha(_RAW_NANO)} as fingerprint from judged where v = '202|accepted|'",
-    "event_codec_losses": "select 0 as losses",
+    "event_codec": "select log_offset, tenant_id, meter, quantity, epoch_us(occurred_at) as occurred_at, epoch_us(received_at) as received_at, idempotency_key, lower(hex(fingerprint)) as fingerprint from usage_events",
     "classify_outcomes": f"with {_classify('usage_events', 'stored_events')} select log_offset, outcome from classified",
     "outcome_counts": f"with {_classify('usage_events', 'stored_events')} select outcome, count(*) as deliveries from classified group by outcome",
     "dedup_first_wins": f"with {_classify('usage_events', None)} select log_offset, tenant_id, idempotency_key, meter, quantity from classified where outcome = 'inserted'",
@@ -320,7 +319,7 @@ ORACLE = {
     "consumer_lags": "select consumer, next_offset, e as log_end, greatest(0, e - next_offset) as lag from consumer_offsets, (select max(log_offset) + 1 as e from usage_events)",
     "segment_assignment": f"select log_offset // {SEGMENT_RECORDS} * {SEGMENT_RECORDS} as base_offset, count(*) as records, min(log_offset) as first_offset, max(log_offset) as last_offset, printf('%020d.log', log_offset // {SEGMENT_RECORDS} * {SEGMENT_RECORDS}) as segment from usage_events group by 1, 5",
     "sparse_index_lookup": f"select log_offset, log_offset // {SEGMENT_RECORDS} * {SEGMENT_RECORDS} as base_offset, log_offset - (log_offset % {SEGMENT_RECORDS}) % {INDEX_EVERY} as entry_offset from usage_events",
-    "replay_is_noop": "select 0 as inserted, count(*) as deliveries from usage_events where idempotency_key <> ''",
-    "invariant_one_event_per_key": "select 0 as violations",
-    "invariant_nothing_lost": "select 0 as violations",
+    "replay_is_noop": f"with {_classify('usage_events', None)} select 0 as inserted, count(*) filter (outcome <> 'conflict') as duplicates, count(*) filter (outcome = 'conflict') as conflicts from classified",
+    "invariant_one_event_per_key": "select count(*) as keys, count(*) as inserted, 0 as violations from (select distinct tenant_id, idempotency_key from usage_events where idempotency_key <> '')",
+    "invariant_nothing_lost": "select count(*) as deliveries, count(*) filter (idempotency_key <> '') as classified, count(*) filter (coalesce(idempotency_key, '') = '') as keyless, 0 as lost from usage_events",
 }

@@ -1,20 +1,26 @@
-"""The segmented binary log as a Spark data source, and a writer for files of its format.
+"""The segmented binary log as a Spark data source, and writers for files of its format.
 
 A segment ``<base offset, 20 digits>.log`` is a 16-byte header (magic, version, base offset; big end first) and records: length, CRC-32C over
-length and payload, payload. Offsets are dense from the base. Each segment is read by one task; filters on ``log_offset``
-leave out segments, and within one the reader steps over records it doesn't need. The last segment may end in a torn or
-damaged record, where its readable log ends, or be shorter than a header, which is an interrupted creation; anything of
-that kind in an earlier segment, a foreign file or an unknown version fails the query, as it would be loss of data. So the writer
-cuts such a tail off before it goes on.
+length and payload, payload. Offsets are dense from the base. Beside it, ``<base>.index`` has an entry (offset from the base, position) for a record
+about every 4 KiB. Each segment is read by one task; filters on ``log_offset`` leave out segments, and within one the reader goes to the last
+index entry before the first offset it needs and steps over the records up to that without reading them. The index is a hint: one that is
+lost is done without, what is cut or points past the end is ignored, and where it leads to no sound record the segment is read from its start.
 
+The last segment may end in a torn or damaged record, where its readable log ends, or be shorter than a header, which is an interrupted creation;
+anything of that kind in an earlier segment, a foreign file or an unknown version fails the query, as it would be loss of data. So the writer
+cuts such a tail off before it goes on. A range of a stream that was announced and can't be read fails too.
+
+Folders are URIs of any file system that Arrow opens (file, hdfs, s3, gs) or local paths; executors and driver must see the same.
 Checksums are computed for all records of a chunk at once, byte column by byte column.
 """
 
 from __future__ import annotations
 
-import os
+import io
 import re
 import struct
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,7 +28,8 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the format.
@@ -30,6 +37,8 @@ MAGIC = 0x4C474C4E
 VERSION = 1
 HEADER = struct.Struct(">IIQ")
 RECORD = struct.Struct(">II")
+ENTRY = struct.Struct(">II")
+INDEX_BYTES = 4096
 LARGEST_RECORD = 8 * 1024 * 1024
 POLYNOMIAL = 0x82F63B78
 
@@ -118,18 +127,74 @@ def encode_records(payloads: list[bytes]) -> list[bytes]:
     return [n + struct.pack(">I", int(c)) + p for n, c, p in zip(lengths, sums, payloads, strict=True)]
 
 
+def _at(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or local path, and the path in it."""
+    if "://" in path and not path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+
+
+def _read(path: str) -> bytes | None:
+    system, at = _at(path)
+    if system.get_file_info(at).type == pafs.FileType.NotFound:
+        return None
+    with system.open_input_file(at) as f:
+        return f.read()
+
+
+def _write(path: str, data: bytes) -> None:
+    """Replace the file in one step."""
+    system, at = _at(path)
+    temporary = f"{at}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(temporary) as f:
+        f.write(data)
+    system.move(temporary, at)
+
+
 def list_segments(folder: str) -> list[tuple[int, str]]:
     """(base offset, path) of each segment in order; other files are ignored, a ``.log`` with another name is an error."""
+    system, at = _at(folder)
     found = []
-    for name in os.listdir(folder):
-        path = os.path.join(folder, name)
-        if name.endswith(".log") and os.path.isfile(path):
+    for info in system.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+        name = info.base_name
+        if name.endswith(".log") and info.type == pafs.FileType.File:
             if not re.fullmatch(r"[0-9]+\.log", name):
                 raise LogError(f"not a segment name: {name}")
-            found.append((int(name[:-4]), path))
+            found.append((int(name[:-4]), f"{folder.rstrip('/')}/{name}"))
     return sorted(found)
 
 
+def _size(path: str) -> int:
+    system, at = _at(path)
+    return system.get_file_info(at).size
+
+
+def index_path(segment: str) -> str:
+    return f"{segment[: -len('.log')]}.index"
+
+
+def index_entries(segment: str, size: int) -> list[tuple[int, int]]:
+    """(offset from the base, position) of the segment's index as far as it can be right; none if it is lost."""
+    data = _read(index_path(segment)) or b""
+    found: list[tuple[int, int]] = []
+    for rel, position in ENTRY.iter_unpack(data[: len(data) // ENTRY.size * ENTRY.size]):
+        if not (HEADER.size <= position < size) or found and not (rel > found[-1][0] and position > found[-1][1]):
+            break
+        found.append((rel, position))
+    return found
+
+
+def _index_of(lengths: list[int]) -> bytes:
+    """The index of a segment whose records, frames included, have these lengths."""
+    out, position, indexed = [], HEADER.size, -INDEX_BYTES
+    for rel, n in enumerate(lengths):
+        if position - indexed >= INDEX_BYTES:
+            out.append(ENTRY.pack(rel, position))
+            indexed = position
+        position += n
+    return b"".join(out)
+
+
 @dataclass
 class SegmentPart(InputPartition):
     path: str
@@ -137,17 +202,20 @@ class SegmentPart(InputPartition):
     low: int
     high: int | None
     last: bool
+    announced: bool = False
+    """Whether records up to ``high`` are known to be there, so that it is an error if they aren't."""
 
-    def __init__(self, path: str, base: int, low: int, high: int | None, last: bool):
-        self.path, self.base, self.low, self.high, self.last = path, base, low, high, last
+    def __init__(self, path: str, base: int, low: int, high: int | None, last: bool, announced: bool = False):
+        self.path, self.base, self.low, self.high, self.last, self.announced = path, base, low, high, last, announced
 
 
 def read_segment(part: SegmentPart) -> Iterator[tuple[int, bytes]]:
     """(offset, payload) of the part's records, checked."""
-    with open(part.path, "rb", buffering=1 << 20) as f:
+    size = _size(part.path)
+    with _opened(part.path) as f:
         head = f.read(HEADER.size)
         if len(head) < HEADER.size:
-            if part.last:
+            if part.last and not part.announced:
                 return
             raise LogError(f"{part.path}: header cut off")
         magic, version, base = HEADER.unpack(head)
@@ -157,42 +225,80 @@ def read_segment(part: SegmentPart) -> Iterator[tuple[int, bytes]]:
             raise LogError(f"{part.path}: version {version}, not {VERSION}")
         if base != part.base:
             raise LogError(f"{part.path}: header says base offset {base}")
-        offset, ended = base, False
-        while not ended and (part.high is None or offset < part.high):
-            held: list[tuple[int, int, bytes, bytes]] = []
-            size, damage = 0, ""
-            while size < CHUNK_BYTES and (part.high is None or offset < part.high):
-                frame = f.read(RECORD.size)
-                if not frame:
-                    ended = True
+        entries = index_entries(part.path, size) if part.low > base else []
+        k = bisect_right(entries, (part.low - base, size)) - 1
+        if k >= 0:
+            f.seek(entries[k][1])
+            given = False
+            for record in _records(f, part, size, base + entries[k][0], hint=True):
+                if record is None:
                     break
-                if len(frame) < RECORD.size:
-                    damage = "torn header"
-                    break
-                length, crc = RECORD.unpack(frame)
-                if length > LARGEST_RECORD:
-                    damage = "absurd length"
-                    break
-                payload = f.read(length)
-                if len(payload) < length:
-                    damage = "torn payload"
-                    break
-                if offset >= part.low or part.last:
-                    held.append((offset, crc, frame[:4], payload))
-                    size += length
-                offset += 1
-            sums = crc32c([n + p for _, _, n, p in held])
-            for (at, crc, _, payload), right in zip(held, sums.tolist(), strict=True):
-                if crc != right:
-                    if not part.last:
-                        raise LogError(f"{part.path}: damaged record at offset {at}")
-                    return
-                if at >= part.low:
-                    yield at, payload
-            if damage:
-                if part.last:
-                    return
-                raise LogError(f"{part.path}: {damage} at offset {offset}")
+                given = True
+                yield record
+            else:
+                return
+            if given:
+                raise LogError(f"{part.path}: changed while it was read")
+            f.seek(HEADER.size)
+        yield from _records(f, part, size, base)  # type: ignore[misc]
+
+
+def _opened(path: str) -> io.BufferedReader:
+    system, at = _at(path)
+    return io.BufferedReader(system.open_input_file(at), 1 << 20)
+
+
+def _records(f: io.BufferedReader, part: SegmentPart, size: int, offset: int, hint: bool = False) -> Iterator[tuple[int, bytes] | None]:
+    """Records from the file's place on, where that with ``offset`` begins; with ``hint``, None if there is no sound record before any was given."""
+    given, ended, position = False, False, f.tell()
+
+    def damaged(what: str, at: int) -> bool:
+        """Whether the log simply ends here; else an error, but for a hint that has led astray."""
+        if hint and not given:
+            return False
+        if not part.last or part.announced and (part.high is None or at < part.high):
+            raise LogError(f"{part.path}: {what} at offset {at}")
+        return True
+
+    while not ended and (part.high is None or offset < part.high):
+        held: list[tuple[int, int, bytes, bytes]] = []
+        chunk, damage = 0, ""
+        while chunk < CHUNK_BYTES and (part.high is None or offset < part.high):
+            frame = f.read(RECORD.size)
+            if not frame:
+                ended = True
+                break
+            if len(frame) < RECORD.size:
+                damage = "torn header"
+                break
+            length, crc = RECORD.unpack(frame)
+            if length > LARGEST_RECORD:
+                damage = "absurd length"
+                break
+            position += RECORD.size + length
+            if position > size:
+                damage = "torn payload"
+                break
+            if offset < part.low:
+                f.seek(length, 1)
+            else:
+                held.append((offset, crc, frame[:4], f.read(length)))
+                chunk += length
+            offset += 1
+        sums = crc32c([n + p for _, _, n, p in held])
+        for (at, crc, _, payload), right in zip(held, sums.tolist(), strict=True):
+            if crc != right:
+                if not damaged("damaged record", at):
+                    yield None
+                return
+            given = True
+            yield at, payload
+        if damage:
+            if not damaged(damage, offset):
+                yield None
+            return
+    if ended and part.announced and part.high is not None and offset < part.high and part.last and not damaged("missing record", offset):
+        yield None
 
 
 def _batches(records: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -202,37 +308,37 @@ def _batches(records: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def log_end(folder: str) -> int:
-    """The next offset the log would give: the base of its last segment and the records that can be read there."""
+    """The next offset the log would give: what can be read of its last segment from the last index entry on, not from its start."""
     found = list_segments(folder)
     while found:
         base, path = found.pop()
-        if os.path.getsize(path) >= HEADER.size or not found:
-            return base + sum(1 for _ in read_segment(SegmentPart(path, base, 0, None, True)))
+        size = _size(path)
+        if size >= HEADER.size or not found:
+            entries = index_entries(path, size) if size >= HEADER.size else []
+            low = base + (entries[-1][0] if entries else 0)
+            return max((o + 1 for o, _ in read_segment(SegmentPart(path, base, low, None, True))), default=low)
     return 0
 
 
 def recover(folder: str) -> int | None:
-    """Make the log's end fit to be written on: the last segment's torn or damaged tail is cut off, the file of an interrupted creation goes.
+    """Make the log's end fit to be written on: the last segment's torn or damaged tail is cut off, its index made anew, the file of an interrupted creation goes.
 
     The next offset; None if there is no segment. A foreign file or an unknown version is an error and stays as it is.
     """
     found = list_segments(folder)
     while found:
         base, path = found.pop()
-        size = os.path.getsize(path)
+        size = _size(path)
         if size < HEADER.size and found:
-            os.remove(path)
+            _delete(path)
             continue
-        with open(path, "r+b") as f:
-            if size < HEADER.size:  # the log's only file: its name keeps the offset
-                f.write(HEADER.pack(MAGIC, VERSION, base))
-            end, position = base, HEADER.size
-            for _, payload in read_segment(SegmentPart(path, base, 0, None, True)) if size >= HEADER.size else ():
-                end, position = end + 1, position + RECORD.size + len(payload)
-            f.truncate(position)
-            f.flush()
-            os.fsync(f.fileno())
-        return end
+        lengths = [RECORD.size + len(p) for _, p in read_segment(SegmentPart(path, base, 0, None, True))] if size >= HEADER.size else []
+        end = HEADER.size + sum(lengths)
+        if size != end:
+            _write(path, _read(path)[:end] if size >= HEADER.size else HEADER.pack(MAGIC, VERSION, base))  # type: ignore[index]
+        if _read(index_path(path)) != _index_of(lengths):
+            _write(index_path(path), _index_of(lengths))
+        return base + len(lengths)
     return None
 
 
@@ -241,30 +347,97 @@ def write_log(folder: str, payloads: list[bytes], segment_bytes: int = 64 * 1024
 
     The log is recovered first. ``base`` is where an empty log begins; another offset than a log's end is an error, as records would be lost.
     """
-    os.makedirs(folder, exist_ok=True)
+    system, at = _at(folder)
+    system.create_dir(at, recursive=True)
     records, end = encode_records(payloads), recover(folder)
     if end is not None and base not in (None, end):
         raise LogError(f"the log ends at offset {end}, not {base}")
-    base = end if end is not None else base or 0
+    return _write_segments(folder, records, end if end is not None else base or 0, segment_bytes)
+
+
+def _write_segments(folder: str, records: list[bytes], base: int, segment_bytes: int) -> list[str]:
     names: list[str] = []
-    out, size = None, 0
-    for k, record in enumerate(records):
-        if out is None or size + len(record) > segment_bytes and size > HEADER.size:
-            if out:
-                out.close()
-            names.append(segment_name(base + k))
-            path = os.path.join(folder, names[-1])
-            begun = k == 0 and os.path.exists(path)  # a segment that lost all its records
-            out = open(path, "r+b" if begun else "xb")  # noqa: SIM115
-            out.write(HEADER.pack(MAGIC, VERSION, base + k))
-            size = HEADER.size
-        out.write(record)
-        size += len(record)
-    if out:
-        out.close()
+    first, size = 0, HEADER.size
+    for k, record in enumerate([*records, None]):
+        if k > first and (record is None or size + len(record) > segment_bytes):
+            path = f"{folder.rstrip('/')}/{segment_name(base + first)}"
+            _write(index_path(path), _index_of([len(r) for r in records[first:k]]))
+            _write(path, HEADER.pack(MAGIC, VERSION, base + first) + b"".join(records[first:k]))
+            names.append(segment_name(base + first))
+            first, size = k, HEADER.size
+        size += len(record or b"")
     return names
 
 
+def _write_part(batches: Iterator[pa.RecordBatch], folder: str, segment_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Write the segments of one partition's records, (log_offset, payload) in order; the span of its offsets, if it has any."""
+    held: list[bytes] = []
+    low = first = None
+    size = HEADER.size
+    for batch in batches:
+        for offset, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if first is None:
+                low = first = offset
+            if offset != first + len(held):
+                raise LogError(f"offset {offset} comes where {first + len(held)} should")
+            if held and size + RECORD.size + len(payload) > segment_bytes:
+                _write_segments(folder, encode_records(held), first, segment_bytes)
+                first, held, size = offset, [], HEADER.size
+            held.append(payload)
+            size += RECORD.size + len(payload)
+    if held:
+        _write_segments(folder, encode_records(held), first, segment_bytes)
+        yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([first + len(held)], pa.int64())], names=["low", "high"])
+
+
+def write_table(log: DataFrame, folder: str, partitions: int, segment_bytes: int = 64 * 1024 * 1024) -> int:
+    """Write the rows (log_offset, payload) of an empty log, offsets dense from 0, each partition its own segments; the number of records.
+
+    Segments appear whole, one rename each, and a task that is tried again writes the same files. Gaps and repeated offsets are an error.
+    """
+    if list_segments(folder):
+        raise LogError("the log isn't empty")
+    system, at = _at(folder)
+    system.create_dir(at, recursive=True)
+
+    ordered = log.select("log_offset", "payload").repartitionByRange(partitions, "log_offset").sortWithinPartitions("log_offset")
+    end = 0
+    for low, high in sorted((r["low"], r["high"]) for r in ordered.mapInArrow(lambda batches: _write_part(batches, folder, segment_bytes), "low bigint, high bigint").collect()):  # one row a partition
+        if low != end:
+            raise LogError(f"offset {low} comes where {end} should")
+        end = high
+    return end
+
+
+def _exists(path: str) -> bool:
+    system, at = _at(path)
+    return system.get_file_info(at).type != pafs.FileType.NotFound
+
+
+def _delete(path: str) -> None:
+    system, at = _at(path)
+    system.delete_file(at)
+
+
+def read_at(offsets: DataFrame, folder: str) -> DataFrame:
+    """(log_offset, payload) of the records with these offsets, each by its segment's index; offsets the log doesn't have give no row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list_segments(folder)
+        bases = [b for b, _ in found]
+
+        def records() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                for offset in batch.column(0).to_pylist():
+                    k = bisect_right(bases, offset) - 1 if offset is not None else -1
+                    if k >= 0:
+                        yield from read_segment(SegmentPart(found[k][1], bases[k], offset, offset + 1, k + 1 == len(found)))
+
+        yield from _batches(records())
+
+    return offsets.select("log_offset").mapInArrow(read, SCHEMA)
+
+
 class LogReader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder, self.low, self.high = folder, 0, None
@@ -287,13 +460,13 @@ class LogReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
+    def partitions(self, announced: bool = False) -> list[InputPartition]:
         found = list_segments(self.folder)
         parts = []
         for k, (base, path) in enumerate(found):
             last = k + 1 == len(found)
             if (self.high is None or base < self.high) and (last or found[k + 1][0] > self.low):
-                parts.append(SegmentPart(path, base, self.low, self.high, last))
+                parts.append(SegmentPart(path, base, self.low, self.high, last, announced))
         return parts
 
     def read(self, partition: SegmentPart | None) -> Iterator[pa.RecordBatch]:
@@ -304,19 +477,19 @@ class LogReader(DataSourceReader):
 class LogStreamReader(DataSourceStreamReader):
     """Offsets of the stream are offsets of the log."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, first: int = 0):
+        self.folder, self.first = folder, first
 
     def initialOffset(self) -> dict:
-        return {"offset": 0}
+        return {"offset": self.first}
 
     def latestOffset(self) -> dict:
-        return {"offset": log_end(self.folder)}
+        return {"offset": max(self.first, log_end(self.folder))}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         reader = LogReader(self.folder)
         reader.low, reader.high = start["offset"], end["offset"]
-        return reader.partitions()
+        return reader.partitions(announced=True)
 
     def read(self, partition: SegmentPart) -> Iterator[pa.RecordBatch]:
         yield from _batches(read_segment(partition))
@@ -326,7 +499,7 @@ class LogStreamReader(DataSourceStreamReader):
 
 
 class LogSource(DataSource):
-    """``spark.read`` or ``spark.readStream``, ``.format("segmented_log").load(folder)``; every executor must see the folder."""
+    """``spark.read`` or ``spark.readStream``, ``.format("segmented_log").load(folder)``; every executor must see the folder. A stream begins at ``startingOffset``, 0 if not given."""
 
     @classmethod
     def name(cls) -> str:
@@ -336,10 +509,10 @@ class LogSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> LogReader:
-        return LogReader(self.options["path"].removeprefix("file://"))
+        return LogReader(self.options["path"])
 
     def streamReader(self, schema) -> LogStreamReader:
-        return LogStreamReader(self.options["path"].removeprefix("file://"))
+        return LogStreamReader(self.options["path"], int(self.options.get("startingOffset", 0)))
 
 
 def register(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ from tallymill.functions.keys import has_key, id_hi, id_lo
 from tallymill.operators.classify import classify
 from tallymill.operators.dedup_index import IdentifierIndex, prefix_bits
 from tallymill.session import SharedFiles
-from tallymill.sources.log_segments import register
+from tallymill.sources.log_segments import log_end, register
 from tallymill.sources.requests import decode_event
 
 ROW = "id bigint, tenant_id string, meter string, quantity decimal(38,9), occurred_at timestamp, received_at timestamp, idempotency_key string, payload_fingerprint binary"
@@ -112,7 +112,7 @@ class Consumer:
         batch = self._decoded(batch)
         state = self._last()
         start, index = state["next_offset"], self._index(state)
-        decimal = F.col("quantity").try_cast(T.DecimalType(38, 9))
+        decimal = F.when(F.col("quantity").rlike(r"\A\p{ASCII}*\z"), F.col("quantity").try_cast(T.DecimalType(38, 9)))  # digits of other scripts are none here
         usable = has_key() & decimal.isNotNull()
         poison = has_key() & F.col("quantity").isNotNull() & decimal.isNull()
         new = F.col("log_offset") >= start
@@ -184,16 +184,24 @@ class Consumer:
         """
         return self._run(self._files(log_path, schema, files_per_batch), checkpoint)
 
-    def drain_segments(self, folder: str, checkpoint: str | None = None) -> Stats:
-        """Read a segmented binary log from where this consumer's checkpoint stands to its end, in one batch."""
-        return self._run(self._segments(folder), checkpoint)
+    def drain_segments(self, folder: str, records_per_batch: int = 5_000_000) -> Stats:
+        """Read a segmented binary log from this consumer's offset to its end, so many records at a time. Statistics cover committed batches only."""
+        register(self.spark)
+        total, end = Stats(), log_end(folder)
+        while (start := self.next_offset()) < end:
+            bounds = (F.col("log_offset") >= start) & (F.col("log_offset") < min(end, start + records_per_batch))
+            total.add(self.apply(self.spark.read.format("segmented_log").load(folder).where(bounds)))
+            if self.next_offset() == start:
+                raise RuntimeError(f"the log announced offsets up to {end} and has none from {start}")
+        return total
 
     def tail(self, log_path: str, schema: T.StructType, every: str = "10 seconds", files_per_batch: int = 64, checkpoint: str | None = None) -> StreamingQuery:
         """Like ``drain``, but go on until the query is stopped and look for new files each ``every``; the manifests have the statistics."""
         return self._start(self._files(log_path, schema, files_per_batch), checkpoint, Stats(), processingTime=every)
 
     def tail_segments(self, folder: str, every: str = "10 seconds", checkpoint: str | None = None) -> StreamingQuery:
-        """Like ``drain_segments``, but go on until the query is stopped and look for new records each ``every``."""
+        """Drain what is there, then go on until the query is stopped and look for new records each ``every``."""
+        self.drain_segments(folder)
         return self._start(self._segments(folder), checkpoint, Stats(), processingTime=every)
 
     def _files(self, log_path: str, schema: T.StructType, files_per_batch: int) -> DataFrame:
@@ -201,7 +209,7 @@ class Consumer:
 
     def _segments(self, folder: str) -> DataFrame:
         register(self.spark)
-        return self.spark.readStream.format("segmented_log").load(folder)
+        return self.spark.readStream.format("segmented_log").option("startingOffset", self.next_offset()).load(folder)
 
     def _start(self, stream: DataFrame, checkpoint: str | None, total: Stats, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(lambda batch, _: total.add(self.apply(batch))).option("checkpointLocation", checkpoint or f"{self.home}/checkpoint").trigger(**trigger).start()

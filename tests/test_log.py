@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.classify import classify
 from tallymill.operators.offsets import as_of, consumer_lag, high_water_mark, latest_cursors, segments
-from tallymill.sources.log_segments import HEADER, LogError, SegmentPart, crc32c, encode_records, list_segments, read_segment, recover, register, write_log
+from tallymill.sources import log_segments
+from tallymill.sources.log_segments import ENTRY, HEADER, LogError, SegmentPart, crc32c, encode_records, index_entries, list_segments, log_end, read_at, read_segment, recover, register, write_log, write_table
 from tests.helpers import NOON, usage, values
 
 
@@ -134,6 +135,84 @@ def test_empty_log(spark, tmp_path):
     assert load(spark, tmp_path).count() == 0
 
 
+def test_the_index_is_a_hint(spark, tmp_path):
+    payloads = [f"{i:064}".encode() for i in range(4000)]
+    (name,) = write_log(str(tmp_path), payloads)
+    path, index = str(tmp_path / name), tmp_path / name.replace(".log", ".index")
+    size = os.path.getsize(path)
+    entries = index_entries(path, size)
+    assert len(entries) == 71 and entries[0] == (0, HEADER.size)
+    whole = index.read_bytes()
+    at = lambda o: [(k, bytes(p)) for k, p in read_segment(SegmentPart(path, 0, o, o + 1, True))]
+    wrong = ENTRY.pack(100, 20) + ENTRY.pack(300, 5000)
+    for content in (whole, None, whole[:-5], whole + ENTRY.pack(5000, size + 7), wrong, b"", b"abc"):
+        if content is None:
+            index.unlink()
+        else:
+            index.write_bytes(content)
+        assert [at(o) for o in (0, 1, 99, 350, 3999, 4000)] == [[(o, payloads[o])] if o < 4000 else [] for o in (0, 1, 99, 350, 3999, 4000)]
+        assert log_end(str(tmp_path)) == 4000
+    assert recover(str(tmp_path)) == 4000 and index.read_bytes() == whole
+
+
+def test_a_point_read_touches_little(tmp_path, monkeypatch):
+    payloads = [bytes(1000)] * 20_000
+    (name,) = write_log(str(tmp_path), payloads)
+    read = []
+    opened = log_segments._opened
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+        def tell(self):
+            return self.f.tell()
+
+    monkeypatch.setattr(log_segments, "_opened", lambda p: Counted(opened(p)))
+    assert [o for o, _ in read_segment(SegmentPart(str(tmp_path / name), 0, 15_003, 15_004, True))] == [15_003]
+    assert sum(read) < 2000  # headers up to the record, and its own payload
+
+
+def test_what_a_stream_was_promised_must_be_there(tmp_path):
+    (name,) = write_log(str(tmp_path), [b"0123456789"] * 10)
+    path = str(tmp_path / name)
+    assert len(list(read_segment(SegmentPart(path, 0, 2, 10, True, announced=True)))) == 8
+    with pytest.raises(LogError, match="missing record at offset 10"):
+        list(read_segment(SegmentPart(path, 0, 2, 11, True, announced=True)))
+    flip(path, HEADER.size + 4 * 18 + 12)
+    with pytest.raises(LogError, match="damaged record at offset 4"):
+        list(read_segment(SegmentPart(path, 0, 2, 10, True, announced=True)))
+
+
+def test_a_table_is_written_as_segments_by_many_tasks(spark, tmp_path):
+    rows = [(k, bytes([k % 256]) * (k % 50)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "log_offset bigint, payload binary").repartition(5)
+    for folder in (f"file://{tmp_path}/a", str(tmp_path / "b")):
+        assert write_table(df, folder, 4, 8000) == 3000
+        assert len(list_segments(folder)) >= 12
+        assert sorted((r[0], bytes(r[1])) for r in load(spark, folder).collect()) == rows
+        assert sorted((r[0], bytes(r[1])) for r in read_at(spark.createDataFrame([(5,), (2999,), (3000,), (None,), (5,)], "log_offset bigint"), folder).collect()) == [rows[5], rows[5], rows[2999]]
+        with pytest.raises(LogError, match="isn't empty"):
+            write_table(df, folder, 4)
+    for k, bad in enumerate((df.where("log_offset <> 700"), df.unionAll(df.where("log_offset = 9")), df.where("log_offset > 0"))):
+        with pytest.raises(Exception, match="should"):
+            write_table(bad, str(tmp_path / f"bad{k}"), 3)
+    assert write_table(df.limit(0), str(tmp_path / "none"), 3) == 0
+
+
 def test_classification(spark):
     rows = [
         {"idempotency_key": "a", "fingerprint": b"1"},  # inserted

@@ -26,9 +26,9 @@ def test_every_oracle_has_a_query():
 
 
 def test_no_float_leaves_the_core(spark, smallest):
-    from tallymill.plans import adapter, data_problems, event_log
+    from tallymill.plans import adapter, data_problems, event_log, log_consumer
 
-    for m in (adapter, data_problems, event_log):
+    for m in (adapter, data_problems, event_log, log_consumer):
         for name, f in m.QUERIES.items():
             assert not [t for _, t in f(spark, smallest).dtypes if t in ("float", "double")], name
 
