@@ -229,19 +229,25 @@ class IdentifierIndex:
 
     def ingest(self, batch: DataFrame, keys: DataFrame | None = None) -> None:
         """Add a batch of (hi, lo, row_id), at most one row per identifier, if it isn't there from an earlier try. ``keys`` (hi) may tell more cheaply which prefixes it touches."""
+        self.add(batch, keys)
+        self.tidy()
+
+    def add(self, batch: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        """Like ``ingest``, without merging runs afterwards; the run of what was new."""
         runs, known = self.runs(), self.touched(batch if keys is None else keys)
         by_prefix = self._prefixed(batch).groupBy("prefix")
         novel = by_prefix.applyInArrow(_whole, self._schema) if known is None else by_prefix.cogroup(known.select("prefix", "hi", "lo").groupBy("prefix")).applyInArrow(_novel, self._schema)
         number = runs[-1][1] + 1 if runs else 0
-        self._write(novel, self._span(number, number))
-        self._tidy()
+        span = self._span(number, number)
+        self._write(novel, span)
+        return self._table(span)
 
     def append(self, batch: DataFrame) -> None:
         """Add a batch of identifiers of which the caller knows that no run holds them."""
         runs = self.runs()
         number = runs[-1][1] + 1 if runs else 0
         self._write(self._prefixed(batch).groupBy("prefix").applyInArrow(_whole, self._schema), self._span(number, number))
-        self._tidy()
+        self.tidy()
 
     def _level(self, span: tuple[int, int]) -> int:
         level, size = 0, span[1] - span[0] + 1
@@ -249,7 +255,7 @@ class IdentifierIndex:
             level, size = level + 1, size // self.fan_in
         return level
 
-    def _tidy(self) -> None:
+    def tidy(self) -> None:
         """Merge while ``fan_in`` runs of one level stand last; lay out anew what has outgrown its prefixes."""
         while len(last := self.runs()[-self.fan_in :]) == self.fan_in and len({self._level(s) for s in last}) == 1:
             self.merge(last)

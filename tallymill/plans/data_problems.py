@@ -15,6 +15,7 @@ from tallymill.operators.late_windows import corrections, late_windows, latest
 from tallymill.operators.rolling import rolling
 from tallymill.operators.skew import keys_with_share, skew_aggregate, skew_join
 from tallymill.sources.tables import table
+from tallymill.streaming.late_stream import stream_totals
 
 #: The last day of the delivery log, on which the trailing periods end.
 LAST_DAY = datetime.date(2026, 8, 3)
@@ -60,6 +61,11 @@ def p2_diverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(late_windows(_usage(spark, sf_dir)).diverted)
 
 
+def p2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrected totals from the stream: deliveries in three batches by arrival, event-time windows behind a watermark, upserts."""
+    return _plain(stream_totals(_usage(spark, sf_dir)))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenants that hold at least 1/50 of all rows."""
     return keys_with_share(_usage(spark, sf_dir).select("tenant_id"), "tenant_id", 1 / 50).select("tenant_id")
@@ -95,7 +101,7 @@ def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_rolling(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_upserts, p2_daily_usage, p2_diverted, p4_found, p4_tenant_totals, p4_above_stored_mean, p5_found, p5_rolling)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_upserts, p2_daily_usage, p2_diverted, p2_stream, p4_found, p4_tenant_totals, p4_above_stored_mean, p5_found, p5_rolling)}
 
 _KEPT = """kept as (select * from (select *, row_number() over (partition by tenant_id, idempotency_key order by received_at, log_offset) as copy
   from usage_events where idempotency_key <> '') where copy = 1)"""
@@ -125,6 +131,7 @@ ORACLE = {
     "p2_found": f"with {_COUNTED} select log_offset from counted where rd > od",
     "p2_upserts": f"with {_UPSERTS} select * replace ({_DAY.format('usage_day')}, {_DAY.format('arrival_day')}, {_TEXT.format('quantity')}) from ups",
     "p2_daily_usage": f"with {_UPSERTS} select tenant_id, meter, {_DAY.format('usage_day')}, version, {_TEXT.format('quantity')}, events, corrections from ups qualify row_number() over (partition by tenant_id, meter, usage_day order by version desc) = 1",
+    "p2_stream": f"with {_COUNTED} select tenant_id, meter, strftime(od, '%Y-%m-%d') as usage_day, cast(cast(sum(q) as decimal(38,9)) as varchar) as quantity, count(*) as events from counted group by tenant_id, meter, od",
     "p2_diverted": f"""select * from (select log_offset, case when coalesce(idempotency_key, '') = '' then 'no_key' when meter is null then 'no_meter' when occurred_at is null then 'no_time'
       when not coalesce({_PLAIN}, false) then 'bad_quantity' when epoch_us(occurred_at) < epoch_us(received_at) - 3024000000000 then 'too_late'
       when epoch_us(occurred_at) > epoch_us(received_at) + 300000000 then 'too_early' end as reason, tenant_id, meter, epoch_us(occurred_at) as occurred_at, epoch_us(received_at) as received_at from usage_events) where reason is not null""",

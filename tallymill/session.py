@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 _local_dir: str | None = None
 _made: list[str] = []
 _tables: dict[str, str] = {}
+_runs: dict[str, str] = {}
 
 
 def session(app: str = "tallymill", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -62,8 +63,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    """A new path below the shared folder, in a folder of this application that goes when the application ends."""
+    shared = shared_dir(spark)
+    if shared not in _runs:
+        _runs[shared] = f"{shared}/tallymill-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_runs[shared])
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    _made.append(f"{_runs[shared]}/{name}-{uuid.uuid4().hex[:12]}")
     return _made[-1]
 
 
@@ -122,6 +130,12 @@ class SharedFiles:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
+    def move(self, name: str, to: str) -> None:
+        """Rename within the root; the folder it goes to is made if need be."""
+        self._fs.mkdirs(self._path(to).getParent())
+        if not self._fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"{name} can't be moved to {to}")
+
     def publish(self, name: str, text: str) -> bool:
         """Write ``text`` beside its place and rename it there; False if another writer came first."""
         temporary = self._path(f".{name}.{uuid.uuid4().hex}")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymill.operators import dedup_index
+from tallymill.operators.dedup_index import batches_by_arrival
 from tallymill.operators.classify import classify
 from tallymill.operators.late_windows import late_windows, latest
 from tallymill.session import SharedFiles
@@ -14,7 +15,7 @@ from tallymill.sources.requests import encode_event, read_bodies
 from tallymill.sources.tables import USAGE_EVENTS, table
 from tallymill.streaming import drain
 from tallymill.streaming.drain import Consumer, Stats
-from tallymill.streaming.late_stream import current_totals, start_usage_stream
+from tallymill.streaming.late_stream import Intake, current_totals, start_usage_stream, stream_totals
 from tests.helpers import usage, values
 
 
@@ -169,24 +170,32 @@ def test_bodies_from_files(spark, tmp_path):
 
 def test_stream_totals_equal_batch_totals(spark, tmp_path, smallest):
     events = table(spark, smallest, "usage_events")
-    # the stream keeps the first usable copy of a message, the batch judges the first copy: compare where they are the same
-    single = events.where("idempotency_key <> ''").groupBy("tenant_id", "idempotency_key").agg(F.min("log_offset").alias("log_offset"), F.count(F.lit(1)).alias("n")).where("n = 1").select("log_offset")
-    single = events.join(single, "log_offset", "left_semi")
-    parts = single.withColumn("p", F.ntile(4).over(Window.orderBy("received_at")))
-    for k in range(1, 5):
-        parts.where(F.col("p") == k).drop("p").coalesce(1).write.parquet(f"{tmp_path}/log/f{k}")
-    stream = spark.readStream.schema(USAGE_EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log/*")
-    for query in start_usage_stream(stream, f"{tmp_path}/out"):
-        query.awaitTermination()
-    want = late_windows(single)
+    want = late_windows(events)
     columns = ["tenant_id", "meter", "usage_day", "quantity", "events"]
-    assert values(current_totals(spark, f"{tmp_path}/out")) == values(latest(want.upserts).select(*columns))
-    assert values(spark.read.parquet(f"{tmp_path}/out/diverted").select("log_offset", "reason")) == values(want.diverted.select("log_offset", "reason"))
-
-
-def test_stream_drops_second_deliveries(spark, tmp_path):
-    usage(spark, [{"idempotency_key": "a"}, {"idempotency_key": "a"}, {"idempotency_key": "b"}]).write.parquet(f"{tmp_path}/log/f")
-    stream = spark.readStream.schema(USAGE_EVENTS).parquet(f"{tmp_path}/log/*")
-    for query in start_usage_stream(stream, f"{tmp_path}/out", int(timedelta(days=35).total_seconds())):
-        query.awaitTermination()
-    assert [r["events"] for r in current_totals(spark, f"{tmp_path}/out").collect()] == [2]
+    assert values(stream_totals(events, 4)) == values(latest(want.upserts).select(*columns))
+    intake = Intake(spark, f"{tmp_path}/home")
+    for number, batch in enumerate(batches_by_arrival(events, 3)):
+        for _ in range(2):  # a batch that comes again changes nothing
+            intake.apply(batch, number)
+    assert values(intake.diverted()) == values(want.diverted.select("log_offset", "reason"))
+    assert intake.index.held() == events.where("idempotency_key <> ''").select("tenant_id", "idempotency_key").distinct().count()
+
+
+def test_intake_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
+    rows = usage(spark, [{"idempotency_key": "a"}, {"idempotency_key": "a"}, {"idempotency_key": "b"}])
+    intake = Intake(spark, f"{tmp_path}/home")
+    monkeypatch.setattr(SharedFiles, "publish", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        intake.apply(rows, 0)
+    monkeypatch.undo()
+    assert not SharedFiles(spark, f"{tmp_path}/home").exists("kept")  # nothing of the killed attempt is seen
+    intake = Intake(spark, f"{tmp_path}/home")
+    monkeypatch.setattr(Intake, "_settle", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        intake.apply(rows, 0)
+    monkeypatch.undo()
+    again = Intake(spark, f"{tmp_path}/home")  # published, but not moved: that is finished now
+    again.apply(rows, 0)
+    again.apply(usage(spark, [{"log_offset": 9, "idempotency_key": "a"}]), 1)
+    start_usage_stream(again.kept(USAGE_EVENTS), f"{tmp_path}/home").awaitTermination()
+    assert [r["events"] for r in current_totals(spark, f"{tmp_path}/home").collect()] == [2]
