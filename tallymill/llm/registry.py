@@ -33,7 +33,7 @@ def p3_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_targets"))
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_targets"), spark.conf.get("spark.tallymill.tokenizer", packing.TOKENIZER))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

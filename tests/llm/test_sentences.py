@@ -166,6 +166,19 @@ def test_tables_and_decisions(spark):
     assert split_sentences(docs.limit(0)).count() == 0 and decisions(docs.limit(0)).count() == 0
 
 
+def test_document_and_corpus_decide_an_archive(learned, monkeypatch):
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:2000] if t]
+    split = lambda corpus: Counter((k, *s) for k, t in enumerate(texts) for s in sentences(t, corpus))
+    share = lambda got: sum((got & whole).values()) / sum(whole.values())
+    whole, tally, counts = split(learned), Counter(), Counter()
+    for t in texts:
+        for point in scan(t, counts).open.values():
+            tally["form" if learned.ends(point) is None else "corpus"] += 1
+    by_document = sum(n for (k, _), n in counts.items() if k == module._DECIDED + module.DOCUMENT)
+    assert by_document > 2 * tally["form"] and by_document + tally["corpus"] > 10 * tally["form"]
+    assert share(split(Corpus())) < 0.92  # form alone, with what the documents show, is not enough
+
+
 def test_the_corpus_does_not_depend_on_partitions(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(invented(200))), "doc_id bigint, text string").repartitionByRange(4, "doc_id")
     one, many = scanned(docs.coalesce(1))[1], scanned(docs)[1]
