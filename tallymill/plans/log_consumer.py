@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.operators.counted import verdict
 from tallymill.session import scratch
+from tallymill.plans.event_log import _REASON
 from tallymill.sources import log_segments
-from tallymill.sources.requests import decode_event, encode_event
+from tallymill.sources.requests import decode_event, encode_event, parse_bodies
 from tallymill.sources.tables import table
-from tallymill.streaming.drain import Consumer
+from tallymill.streaming.drain import Consumer, Stats
 
 #: Bytes of a segment, small enough that the tables here have several.
 SEGMENT_BYTES = 4 * 1024 * 1024
 BATCHES = 3
+SKEWS = (-24, -3, 0, 3, 24)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -130,6 +133,44 @@ def log_torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(records).select("log_offset", F.lit(torn).cast("bigint").alias("torn_end"), "tenant_id", "idempotency_key")
 
 
+def fault_every_message_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: a drain of a log in which every delivery comes a second time later on; nothing more is stored than without."""
+    log, end = _log(spark, sf_dir)
+    twice = log.unionByName(log.withColumn("log_offset", F.col("log_offset") + end))
+    total = Stats()
+    for stats in _consumer(spark).drain_table(twice, _cuts(2 * end, 4)):
+        total.add(stats)
+    return spark.createDataFrame([(total.read, total.inserted, total.duplicates, total.conflicts)], "read bigint, inserted bigint, duplicates bigint, conflicts bigint")
+
+
+def fault_clock_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries per verdict when the clients' clocks are off by so many hours."""
+    rows = _log(spark, sf_dir)[0].withColumn("skew_hours", F.explode(F.array(*[F.lit(h) for h in SKEWS])))
+    judged = rows.withColumn("occurred_at", F.timestamp_micros(F.unix_micros("occurred_at") + F.col("skew_hours").cast("bigint") * 3_600_000_000)).withColumn("verdict", F.coalesce(verdict(), F.lit("usable")))
+    return judged.groupBy("skew_hours", "verdict").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+def body_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to request bodies that are cut off, too large, not an object, or have a field too many or of another type."""
+    names = ["tenant_id", "meter", "quantity", "occurred_at", "idempotency_key"]
+    body = F.to_json(F.struct(*names))
+    kinds = {
+        "cut": F.expr("left(body, length(body) div 2)"),
+        "large": F.concat("body", F.expr("repeat(' ', 65536)")),
+        "array": F.concat(F.lit("["), "body", F.lit("]")),
+        "misspelled": F.concat(F.lit('{"quanity":"1",'), F.expr("substring(body, 2)")),
+        "number": F.concat(F.lit('{"quantity":1'), F.when(F.length("body") > 2, ",").otherwise(""), F.expr("substring(body, 2)")),
+        "empty": F.lit(""),
+    }
+    requests = table(spark, sf_dir, "ingest_requests").select("request_id", "received_at", body.alias("body"))
+    out = None
+    for kind, made in kinds.items():
+        part = parse_bodies(requests.withColumn("body", made))
+        counted = part.groupBy(F.coalesce("rejected.status", F.lit(202)).alias("status"), F.coalesce("rejected.code", F.lit("accepted")).alias("code")).agg(F.count(F.lit(1)).alias("requests")).withColumn("kind", F.lit(kind))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 def segmented_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: a drain of the segmented log, with what it read and stored."""
     folder, _, end = _segments(spark, sf_dir)
@@ -137,7 +178,7 @@ def segmented_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s.read, s.inserted, s.duplicates, s.conflicts)], "read bigint, inserted bigint, duplicates bigint, conflicts bigint")
 
 
-QUERIES = {f.__name__: f for f in (drain_outcomes, drain_replay, drain_resume, drain_positions, log_roundtrip, log_range_read, log_point_read, log_torn_tail, segmented_drain)}
+QUERIES = {f.__name__: f for f in (drain_outcomes, drain_replay, drain_resume, drain_positions, log_roundtrip, log_range_read, log_point_read, log_torn_tail, segmented_drain, fault_every_message_twice, fault_clock_skew, body_faults)}
 
 
 def _drained(upto: str = "true") -> str:
@@ -162,6 +203,10 @@ ORACLE = {
     "log_range_read": f"select log_offset, tenant_id, idempotency_key from usage_events where log_offset >= {_END} * 9 // 10",
     "log_point_read": "select consumer, next_offset, tenant_id, idempotency_key, quantity from consumer_offsets join usage_events on log_offset = next_offset",
     "log_torn_tail": f"select log_offset, {_END} - 1 as torn_end, tenant_id, idempotency_key from usage_events",
+    "fault_every_message_twice": f"""with {_drained()}, r as (select count(*) as n from refused) select 2 * (count(*) + max(n)) as read, count(*) filter (outcome = 'inserted') as inserted,
+      2 * count(*) - count(*) filter (outcome = 'inserted') - 2 * count(*) filter (outcome = 'key_reuse') as duplicates, 2 * (count(*) filter (outcome = 'key_reuse') + max(n)) as conflicts from judged, r""",
+    "fault_clock_skew": f"""select skew_hours, coalesce({_REASON}, 'usable') as verdict, count(*) as deliveries from (select * replace (occurred_at + to_hours(skew_hours) as occurred_at), skew_hours from usage_events, (values {", ".join(f"({h})" for h in SKEWS)}) as t(skew_hours)) group by 1, 2""",
+    "body_faults": "select kind, case kind when 'large' then 413 else 400 end as status, 'malformed_request' as code, count(*) as requests from ingest_requests, (values ('cut'), ('large'), ('array'), ('misspelled'), ('number'), ('empty')) as t(kind) group by kind",
     "segmented_drain": f"""with {_drained()}, r as (select count(*) as n from refused) select count(*) + max(n) as read, count(*) filter (outcome = 'inserted') as inserted, count(*) filter (outcome = 'duplicate') as duplicates,
       count(*) filter (outcome = 'key_reuse') + max(n) as conflicts from judged, r""",
 }

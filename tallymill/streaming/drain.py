@@ -121,6 +121,8 @@ class Consumer:
         seen = batch.agg(F.count(F.lit(1)).alias("rows"), F.min("log_offset").alias("low"), F.max("log_offset").alias("high"), first(new & poison).alias("poison"), count(new & usable).alias("usable"), count(new & ~usable).alias("unusable")).first()
         if seen["high"] is None:
             return Stats()
+        if seen["low"] < 0:
+            raise ValueError(f"offset {seen['low']} is negative")
         ids = {"hi": id_hi("tenant_id", "idempotency_key"), "lo": id_lo("tenant_id", "idempotency_key")}
         keys = batch.where(usable).select(*[e.alias(n) for n, e in ids.items()])
         committed = index.lookup(keys.distinct(), keys).select("hi", "lo", F.col("value").alias("payload_fingerprint"))
