@@ -205,11 +205,12 @@ class IdentifierIndex:
     def read(self, spans: list[tuple[int, int]] | None = None) -> DataFrame | None:
         """The live runs, or None before the first batch.
 
-        The filter, which lets every row pass, keeps the union from being executed column-wise, where Spark 4.1 plans it as bucketed but doesn't align the buckets.
+        The filter, which lets every row pass, keeps the union from being executed column-wise, where Spark 4.1 plans it as bucketed but doesn't align the
+        buckets. It isn't on ``prefix``, as a column that a filter shows not to be null no longer counts as the one the scan is bucketed by.
         """
         out = None
         for span in self.runs() if spans is None else spans:
-            run = self._table(span).where("prefix is not null")
+            run = self._table(span).where("n >= 0")
             out = run if out is None else out.unionAll(run)
         return out
 
@@ -225,7 +226,7 @@ class IdentifierIndex:
         if runs is None:
             return None
         named = [r[0] for r in keys.select(self._prefix()).distinct().limit(NAMED + 1).collect()]
-        return runs.where(F.col("prefix").isin(named)) if len(named) <= NAMED else runs
+        return runs.where(F.col("prefix").isin([*named, -1])) if len(named) <= NAMED else runs  # two values at least: equality would show the prefix not to be null, see read
 
     def ingest(self, batch: DataFrame, keys: DataFrame | None = None) -> None:
         """Add a batch of (hi, lo, row_id), at most one row per identifier, if it isn't there from an earlier try. ``keys`` (hi) may tell more cheaply which prefixes it touches."""
