@@ -118,7 +118,7 @@ class KeyHistory:
         """The coded sets of the live runs, None before anything was added."""
         out = None
         for name in self._names():
-            run = self.spark.table(self._set_table(name)).where("prefix is not null")  # see IdentifierIndex.read
+            run = self.spark.table(self._set_table(name)).where("n >= 0")  # see IdentifierIndex.read
             out = run if out is None else out.unionAll(run)
         return out
 
