@@ -26,13 +26,15 @@ from pyspark.sql.streaming import StreamingQuery
 from tallymill.functions.keys import has_key, id_hi, id_lo
 from tallymill.operators.classify import classify
 from tallymill.operators.dedup_index import IdentifierIndex, prefix_bits
-from tallymill.session import SharedFiles
+from tallymill.session import SharedFiles, scratch
 from tallymill.sources.log_segments import log_end, register
 from tallymill.sources.requests import decode_event
 
 ROW = "id bigint, tenant_id string, meter string, quantity decimal(38,9), occurred_at timestamp, received_at timestamp, idempotency_key string, payload_fingerprint binary"
 #: Manifests after which the folders so far are listed in one file.
 SNAPSHOT = 64
+#: Decoded records.
+DECODED = "log_offset bigint, tenant_id string, meter string, quantity string, occurred_at timestamp, received_at timestamp, idempotency_key string, fingerprint binary, __undecodable boolean"
 LETTER = "log_offset bigint, reason string, tenant_id string, idempotency_key string"
 
 
@@ -94,8 +96,6 @@ class Consumer:
 
     @staticmethod
     def _decoded(batch: DataFrame) -> DataFrame:
-        if "payload" not in batch.columns:
-            return batch.withColumn("__undecodable", F.lit(False))
         event = decode_event(F.col("payload").cast("string"))
         return batch.select("log_offset", event.alias("e")).select("log_offset", "e.*", F.col("e").isNull().alias("__undecodable"))
 
@@ -109,7 +109,18 @@ class Consumer:
         Rows have the columns of an event, or ``log_offset`` and ``payload`` with the encoded event. What can't be decoded will never be: it is
         counted as read and as conflict, goes to the dead letters and is stepped over.
         """
-        batch = self._decoded(batch)
+        if "payload" not in batch.columns:
+            return self._apply(batch.withColumn("__undecodable", F.lit(False)))
+        # a batch is read several times: records are checked and decoded once
+        decoded = scratch(self.spark, "decoded-batch")
+        self._decoded(batch).write.parquet(decoded)
+        try:
+            return self._apply(self.spark.read.schema(DECODED).parquet(decoded))
+        finally:
+            root, _, name = decoded.rpartition("/")
+            SharedFiles(self.spark, root).delete(name)
+
+    def _apply(self, batch: DataFrame) -> Stats:
         state = self._last()
         start, index = state["next_offset"], self._index(state)
         decimal = F.when(F.col("quantity").rlike(r"\A\p{ASCII}*\z"), F.col("quantity").try_cast(T.DecimalType(38, 9)))  # digits of other scripts are none here
