@@ -28,7 +28,7 @@ def _cuts(end: int, batches: int) -> list[int]:
     return [end * k // batches for k in range(batches + 1)]
 
 
-def _consumer(spark: SparkSession, name: str = "billing", home: str | None = None) -> Consumer:
+def _consumer(spark: SparkSession, name: str = "usage", home: str | None = None) -> Consumer:
     return Consumer(spark, home or scratch(spark, "consumer"), name, on_poison="quarantine")
 
 
@@ -82,7 +82,7 @@ def drain_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = scratch(spark, "consumer")
     _consumer(spark, home=home).drain_table(log, [0, end // 2])
     try:
-        _Killed(spark, home, "billing", on_poison="quarantine").drain_table(log, [end // 2, end])
+        _Killed(spark, home, "usage", on_poison="quarantine").drain_table(log, [end // 2, end])
     except InterruptedError:
         pass
     consumer = _consumer(spark, home=home)
